@@ -1,6 +1,6 @@
 """Token counts and token pieces, with each distinct pre-token encoded once per block of documents.
 
-A block is one Arrow batch. Its distinct pre-tokens that are not yet known are encoded in one library call; counts (or
+A block is a part of an Arrow batch. Its distinct pre-tokens that are not yet known are encoded in one library call; counts (or
 ids) are then joined to the block's per-document pre-token frequencies and summed. What is known is kept between
 blocks up to a fixed number of entries, then cut back to the block at hand, so memory does not grow with the corpus
 and nothing is shuffled. A global dictionary would shuffle every document's pre-tokens to save less work than that.
@@ -20,13 +20,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pre-tokens kept from block to block, in each worker.
-KNOWN = 500_000
+#: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones.
+KNOWN = 350_000
+#: Documents of a block.
+BLOCK = 2500
 _STATE: dict = {}
 
 
-def _fresh(known: dict, used) -> dict:
-    return known if len(known) <= KNOWN else {k: known[k] for k in used}
+class Known:
+    """Pre-token to result, in two generations: what a full young generation did not ask for again is forgotten."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, used: set[str]) -> list[str]:
+        """Pre-tokens to encode; older ones that are asked for again become young."""
+        if len(self.young) > KNOWN:
+            self.old, self.young = self.young, {}
+        young, old, new = self.young, self.old, []
+        for p in used:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        return new
+
+
+def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            yield b.slice(at, BLOCK)
 
 
 # --- counts with a sentencepiece model -------------------------------------------------------------------------------
@@ -41,7 +66,7 @@ def _pieces_model(path: str):
         # a break before a space, and around a line end, is safe only if no piece spans it
         if any("\n" in p or "▁" in p.lstrip("▁") for p in vocab):
             raise ValueError("this model has pieces that span the end of a pre-token")
-        _STATE["sp", path] = (sp, {})
+        _STATE["sp", path] = (sp, Known())
     return _STATE["sp", path]
 
 
@@ -53,19 +78,17 @@ def _count_block(path: str, texts: list[str]) -> list[int]:
     # the model marks a space and the start of a text by the same character
     bags = [Counter(PRE_TOKEN.findall(" " + t.replace("▁", " "))) if t else Counter() for t in texts]
     used = set().union(*bags)
-    new = [p for p in used if p not in known]
+    new = known.missing(used)
     # after a line end nothing is added in front: two pieces stand for the mark and the line end
-    known.update(zip(new, (len(x) - 2 for x in sp.encode(["\n" + p for p in new], num_threads=1)), strict=True))
-    counts = [sum(n * known[p] for p, n in bag.items()) for bag in bags]
-    _STATE["sp", path] = (sp, _fresh(known, used))
-    return counts
+    known.young.update(zip(new, (len(x) - 2 for x in sp.encode(["\n" + p for p in new], num_threads=1)), strict=True))
+    return [sum(n * known.young[p] for p, n in bag.items()) for bag in bags]
 
 
 def token_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row; model is a sentencepiece file that executors can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             counts = _count_block(model, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
@@ -91,7 +114,7 @@ def _ids_model(path: str):
         ends = np.zeros(tk.get_vocab_size(), bool)
         for piece, i in tk.get_vocab().items():
             ends[i] = piece.endswith("</w>")
-        _STATE["tk", path] = (tk, ends, {})
+        _STATE["tk", path] = (tk, ends, Known())
     return _STATE["tk", path]
 
 
@@ -132,17 +155,16 @@ def ids_block(path: str, texts: list[str]) -> list[bytes]:
     tk, ends, known = _ids_model(path)
     chunks = [_chunks(t) for t in texts]
     used = set().union(*chunks)
-    new = [c for c in used if c not in known]
+    new = known.missing(used)
     words = [c for c in new if c.isalpha()]
     other = [c for c in new if not c.isalpha()]
-    known.update(zip(words, _encode_words(tk, ends, words), strict=True))
-    known.update(zip(other, _encode(tk, other), strict=True))
-    at = known.__getitem__
+    known.young.update(zip(words, _encode_words(tk, ends, words), strict=True))
+    known.young.update(zip(other, _encode(tk, other), strict=True))
+    at = known.young.__getitem__
     out = [b"".join(map(at, c)) for c in chunks]
     for i, t in enumerate(texts):
         if ODD.search(t):
             out[i] = _encode(tk, [t])[0]
-    _STATE["tk", path] = (tk, ends, _fresh(known, used))
     return out
 
 
@@ -151,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches):
             rows, ns, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for r, body in enumerate(ids_block(tokenizer, [t or "" for t in b.column(1).to_pylist()])):
                 body += tail
