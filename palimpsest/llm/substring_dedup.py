@@ -1,6 +1,6 @@
 """Substring dedup by relative Lempel-Ziv parsing against an indexed, sharded reference.
 
-The reference is the whole corpus. Its index holds phrases of `size` words by their 128-bit hash and is dealt over
+The reference is the whole corpus. Its index holds phrases of `size` words by 96 bits of their hash and is dealt over
 shards (the reference blocks) by that hash. A document is parsed greedily: a factor starts at the first phrase found
 elsewhere in any block and grows while the next word still ends a phrase found elsewhere; where it stops, the
 phrases that cross the boundary were looked up themselves, so a copy spliced from two sources is not cut short. Every
@@ -15,7 +15,6 @@ rows that repeat id and text are other places of the same words, so long ones ar
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +67,7 @@ def anchors_of(words: list[bytes], size: int) -> np.ndarray:
 
 
 def phrases_of(words: list[bytes], size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 128-bit hash of every phrase whose anchor's hash is in wanted."""
+    """Start and hash of every phrase whose anchor's hash is in wanted."""
     starts, hashes = [], []
     digest = xxhash.xxh3_128_digest
     for at, part in _parts(words, size):
@@ -95,6 +94,33 @@ def factors(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1] - g[0] + size)) for g in np.split(s, cut)]
 
 
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys occur twice or more, without gathering any group.
+
+    One shuffle by the keys; each task then reads its rows in key order and compares neighbours, one batch at a time,
+    so a key of any number of rows needs no memory and the rows are not shuffled again for a join.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, whose right neighbour is in the next batch
+        twin = False  # it equals its left neighbour
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
+            equal = np.ones(b.num_rows - 1, bool)
+            for k in keys:
+                col = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+                equal &= col[1:] == col[:-1]
+            keep = np.concatenate(([twin], equal)) | np.concatenate((equal, [False]))
+            twin, held = bool(equal[-1]) if len(equal) else twin, b.slice(b.num_rows - 1)
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+        if held is not None and twin:
+            yield held
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+
+
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
     """(id, n_words, n_removed, spans, kept_text) for every row of docs."""
     kind = docs.schema[id].dataType.simpleString()
@@ -115,7 +141,7 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 got = [phrases_of(_words(t.as_py()), size, np.array(w.as_py(), np.int64).view(np.uint64)) for t, w in zip(c.column(1), c.column(3), strict=True)]
                 rows = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 hashes = np.concatenate([g[1] for g in got])
-                cols = [c.column(0).take(pa.array(rows)), c.column(2).take(pa.array(rows)), pa.array(np.concatenate([g[0] for g in got])), pa.array(hashes[:, 0]), pa.array(hashes[:, 1])]
+                cols = [c.column(0).take(pa.array(rows)), c.column(2).take(pa.array(rows)), pa.array(np.concatenate([g[0] for g in got]).astype(np.int32)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "start", "p1", "p2"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +162,14 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "kept_text"])
 
-    # the index: anchors that occur twice, by document
-    anchors = rows.mapInArrow(emit_anchors, f"id {kind}, h long, anchor long").repartition("anchor")
-    twice = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
-    wanted = anchors.join(twice, "anchor", "left_semi").groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
+    # the index: anchors that occur twice, by document
+    anchors = rows.mapInArrow(emit_anchors, f"id {kind}, h long, anchor long")
+    wanted = repeated(anchors, ["anchor"]).groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
     routed = rows.join(wanted, same(rows, wanted)).select(rows["id"], rows["text"], rows["h"], "anchors")
     # the reference blocks: phrases by hash; found elsewhere means two places or more
-    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, start long, p1 long, p2 long").repartition("p1", "p2")
-    known = phrases.groupBy("p1", "p2").count().where("count > 1").select("p1", "p2")
-    hits = phrases.join(known, ["p1", "p2"], "left_semi").groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
+    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, start int, p1 long, p2 int")
+    hits = repeated(phrases, ["p1", "p2"]).groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
     parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "starts")
     out = parsed.mapInArrow(parse, f"id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,length:bigint>>, kept_text string")
     return out.withColumnRenamed("id", id)
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
