@@ -51,7 +51,7 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
     if not m:
         return 0.0
     hits_b = [c for c, t in zip(b, taken, strict=True) if t]
-    swaps = sum(x != y for x, y in zip(hits_a, hits_b, strict=True)) / 2
+    swaps = sum(x != y for x, y in zip(hits_a, hits_b, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
     prefix = 0
     while prefix < min(longest, len(a), len(b)) and a[prefix] == b[prefix]:
