@@ -42,7 +42,7 @@ def derive_operations(files: DataFrame, observations: DataFrame, snapshots: Data
     both = both.withColumn("pa", F.coalesce(paths_a, F.array().cast("array<string>"))).withColumn("pb", F.coalesce(paths_b, F.array().cast("array<string>")))
     both = both.withColumn("common", F.array_min(F.array_intersect("pa", "pb")))
     both = both.withColumn("path_a", F.coalesce("common", F.array_min("pa"))).withColumn("path_b", F.coalesce("common", F.array_min("pb")))
-    at = lambda side, path: F.filter(side, lambda x: x["path"] == F.col(path))[0]
+    at = lambda side, path: F.get(F.filter(side, lambda x: x["path"] == F.col(path)), F.lit(0))
     both = both.withColumn("ra", at("a", "path_a")).withColumn("rb", at("b", "path_b"))
     old, new, p, q = F.col("ra.raw_hash"), F.col("rb.raw_hash"), F.col("path_a"), F.col("path_b")
     same_raw, same_norm = F.coalesce(old == new, F.lit(False)), F.coalesce(F.col("ra.norm_hash") == F.col("rb.norm_hash"), F.lit(False))
@@ -76,7 +76,7 @@ def derive_operations(files: DataFrame, observations: DataFrame, snapshots: Data
         gone = lost.select("pair_idx", _op("delete", F.col("x.path"), F.col("x.path"), None, F.col("x.raw_hash"), None).alias("op"))
         made = both.where(F.size("pa") == 0).select("pair_idx", "path_b", F.explode("b").alias("x")).where(F.col("x.path") != F.col("path_b"))
         made = made.select("pair_idx", _op("create", F.col("x.path"), None, F.col("x.path"), None, F.col("x.raw_hash")).alias("op"))
-        kept = both.select("pair_idx", "b", "path_a", F.explode("a").alias("x")).withColumn("y", F.filter("b", lambda z: z["path"] == F.col("x.path"))[0])
+        kept = both.select("pair_idx", "b", "path_a", F.explode("a").alias("x")).withColumn("y", F.get(F.filter("b", lambda z: z["path"] == F.col("x.path")), F.lit(0)))
         kept = kept.where((F.col("x.path") != F.col("path_a")) & (F.col("y.raw_hash") != F.col("x.raw_hash")))
         kept = kept.select("pair_idx", _op("modify", F.col("x.path"), F.col("x.path"), F.col("x.path"), F.col("x.raw_hash"), F.col("y.raw_hash")).alias("op"))
         for more in (gone, made, kept):
