@@ -52,20 +52,23 @@ def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     known = nodes.select("conv", "node").distinct()
     first = nodes.alias("n").join(known.alias("p"), same("n", "p") & (F.col("n.parent") == F.col("p.node")), "left")
     # up: the 2^k-th ancestor; steps: ancestors counted so far; total: score from the node over those steps, up excluded
-    jump = stored(first.select("n.conv", "n.node", F.col("p.node").alias("up"), F.when(F.col("p.node").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("n.score").alias("total")))
-    most = jump.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
-    jumps = [jump]
-    while 2 ** (len(jumps) - 1) <= most and jumps[-1].where("up is not null").limit(1).count():
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        both = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.node")), "left")
-        jumps.append(stored(both.select("a.conv", "a.node", "b.up", (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"), (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"))))
-    done = jumps[-1].where("up is null")  # nodes on cycles never get here
+    now = stored(first.select("n.conv", "n.node", F.col("p.node").alias("up"), F.when(F.col("p.node").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("n.score").alias("total")))
+    most = now.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    jumps, done, moving = [], now.where("up is null"), now.where("up is not null")
+    while 2 ** len(jumps) <= most and moving.limit(1).count():
+        # only nodes below their root move on; a node's row is among those moving or those done
+        jumps.append(moving)
+        a, b = moving.alias("a"), moving.unionByName(done).alias("b")
+        both = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.node")))
+        now = stored(both.select("a.conv", "a.node", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")))
+        done, moving = done.unionByName(now.where("up is null")), now.where("up is not null")
+    # nodes that lead into a cycle never get done
     inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
     leaves = done.alias("d").join(inner.alias("i"), same("d", "i") & (F.col("d.node") == F.col("i.node")), "left_anti")
     rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc("total"), "node"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
     part = chosen.select("conv", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth"), (F.col("steps") + 1).alias("n"))
-    for k in range(len(jumps) - 2, -1, -1):
+    for k in range(len(jumps) - 1, -1, -1):
         size = 2**k
         long, rest = part.where(F.col("n") > size), part.where(F.col("n") <= size)
         above = long.alias("a").join(jumps[k].alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")))
