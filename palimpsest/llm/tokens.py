@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones.
-KNOWN = 350_000
+KNOWN = 200_000
 #: Documents of a block.
-BLOCK = 2500
+BLOCK = 1500
 _STATE: dict = {}
 
 
@@ -103,24 +103,29 @@ def token_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "t
 
 
 def _ids_model(path: str):
-    """The tokenizer, which of its ids end a word, and the known chunks."""
+    """The tokenizer, its core, which of its ids end a word, and the known chunks."""
     if ("tk", path) not in _STATE:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tk = Tokenizer.from_file(path)
+        tk, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # for words that are normalised already: the same merges without the normalizer and the word pattern
+        bare.normalizer = None
+        bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(tk.get_vocab_size(), bool)
         for piece, i in tk.get_vocab().items():
             ends[i] = piece.endswith("</w>")
-        _STATE["tk", path] = (tk, ends, Known())
+        _STATE["tk", path] = (tk, bare, ends, Known())
     return _STATE["tk", path]
 
 
 #: Characters at which str.split() breaks though the tokenizer's white space does not have them.
 ODD = re.compile("[\x1c-\x1f]")
 #: Texts whose lower case and word breaks need no library: Latin-1 letters, digits, blanks, full stops and commas.
+WORD = re.compile("[a-zß-öø-ÿ]+\\Z")
+SEPARATOR = "\x01"
 PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ \n\t.,]*\\Z")
 
 
@@ -135,31 +140,33 @@ def _encode(tk, texts: list[str]) -> list[bytes]:
     return [np.array(e.ids, dtype="<u4").tobytes() for e in tk.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _encode_words(tk, ends: np.ndarray, words: list[str], line: int = 256) -> list[bytes]:
-    """Words of letters only, many to a call: each is one pre-token, so its ids run to the next id that ends a word."""
+def _encode_chunks(tk, chunks: list[str], stop: np.ndarray, glue: str, own: int) -> list[bytes]:
+    """Many chunks to a call; a chunk's ids run to the next id of `stop`, of which the last `own` are the glue's."""
     out: list[bytes] = []
-    lines = [words[i : i + line] for i in range(0, len(words), line)]
-    for part, e in zip(lines, tk.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+    lines = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
+    for part, e in zip(lines, tk.encode_batch_fast([glue.join(x) + glue for x in lines], add_special_tokens=False), strict=True):
         ids = np.array(e.ids, dtype="<u4")
-        stops = (np.flatnonzero(ends[ids]) + 1) * 4
+        stops = (np.flatnonzero(stop[ids]) + 1) * 4
         if len(stops) == len(part):
             body, stops = ids.tobytes(), stops.tolist()
-            out += [body[a:b] for a, b in zip([0, *stops], stops, strict=False)]
-        else:  # a letter that the normalizer splits
+            out += [body[a : b - 4 * own] for a, b in zip([0, *stops], stops, strict=False)]
+        else:
             out += _encode(tk, part)
     return out
 
 
 def ids_block(path: str, texts: list[str]) -> list[bytes]:
     """Little-endian uint32 ids of each text, for a tokenizer that drops white space and never joins across it."""
-    tk, ends, known = _ids_model(path)
+    tk, bare, ends, known = _ids_model(path)
     chunks = [_chunks(t) for t in texts]
     used = set().union(*chunks)
     new = known.missing(used)
-    words = [c for c in new if c.isalpha()]
-    other = [c for c in new if not c.isalpha()]
-    known.young.update(zip(words, _encode_words(tk, ends, words), strict=True))
-    known.young.update(zip(other, _encode(tk, other), strict=True))
+    words = [c for c in new if WORD.match(c)]  # one pre-token each: its last id ends the word
+    other = [c for c in new if not WORD.match(c)]
+    known.young.update(zip(words, _encode_chunks(bare, words, ends, " ", 0), strict=True))
+    mark = np.zeros(len(ends), bool)
+    mark[tk.encode(SEPARATOR, add_special_tokens=False).ids] = True
+    known.young.update(zip(other, _encode_chunks(tk, other, mark, f" {SEPARATOR} ", 1), strict=True))
     at = known.young.__getitem__
     out = [b"".join(map(at, c)) for c in chunks]
     for i, t in enumerate(texts):
