@@ -37,7 +37,7 @@ def held_out(id: Column) -> Column:
     return F.crc32(F.coalesce(id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def training_text(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, chars: int = 1000) -> dict[str, str]:
+def training_text(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = 64, chars: int = 500) -> dict[str, str]:
     """At most rows * chars characters a language, collected: labelled documents with the smallest hash of id."""
     h = F.xxhash64(F.col(id).cast("string"), F.lit("sample"))
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id))).select(F.col(lang).alias("lang"), h.alias("h"), F.substring(F.col(text), 1, chars).alias("text"))
@@ -104,7 +104,9 @@ class CrossParser:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        table = np.full((len(nxt), self.width), -1, np.int32)
+        # short numbers keep the tables in a core's cache; the largest number says that there is no way on
+        kind = np.uint16 if len(nxt) < 0xFFFF else np.uint32
+        table = np.full((len(nxt), self.width), np.iinfo(kind).max, kind)
         for i, row in enumerate(nxt):
             if row:
                 table[i, list(row)] = list(row.values())
@@ -119,14 +121,15 @@ class CrossParser:
             grid[: len(parts[i]), k] = parts[i]
         out = np.zeros((len(self.langs), len(parts)), np.int64)
         for x, table in enumerate(self.tables):
-            root = np.maximum(table[: self.width], 0)
+            none = np.iinfo(table.dtype).max
+            root = np.where(table[: self.width] == none, 0, table[: self.width])
             state = np.zeros(len(parts), np.int32)
             count = (sizes > 0).astype(np.int32)
             for step in range(int(sizes[0]) if len(sizes) else 0):
                 n = int(np.searchsorted(-sizes, -step, "left"))  # parts longer than step
                 c = grid[step, :n]
                 s = table[state[:n] * np.int32(self.width) + c]
-                stop = s < 0
+                stop = s == none
                 s[stop] = root[c[stop]]
                 count[:n] += stop
                 state[:n] = s
