@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm.worker import slices
+
 LANE = 1024
 ALPHABET = 60
 #: Symbols handled at a time by a worker.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 _MODELS: dict = {}
 
 
@@ -179,7 +181,7 @@ def predicted(docs: DataFrame, texts: dict[str, str], id: str = "doc_id", text:
     names = ["_id", *[f"_c_{c}" for c in carry]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = _model(texts).predict(b.column(1).to_pylist())
             cols = [b.column(names[0]), *[b.column(n) for n in names[1:]], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score"])
@@ -195,7 +197,7 @@ def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lan
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = _model(texts).predict(b.column(b.schema.get_field_index(text)).to_pylist())
             yield b.filter(pa.array([g[0] != "und" for g in got], pa.bool_()))
 

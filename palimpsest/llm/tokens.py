@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.worker import slices
+
 #: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones.
 KNOWN = 200_000
 #: Documents of a block.
@@ -48,12 +50,6 @@ class Known:
         return new
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, BLOCK):
-            yield b.slice(at, BLOCK)
-
-
 # --- counts with a sentencepiece model -------------------------------------------------------------------------------
 
 
@@ -88,7 +84,7 @@ def token_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "t
     """(id, n_bytes, n_tokens, over_limit) for every row; model is a sentencepiece file that executors can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in slices(batches, BLOCK):
             counts = _count_block(model, [t or "" for t in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
@@ -144,7 +140,7 @@ def _encode_chunks(tk, chunks: list[str], stop: np.ndarray, glue: str, own: int)
     """Many chunks to a call; a chunk's ids run to the next id of `stop`, of which the last `own` are the glue's."""
     out: list[bytes] = []
     lines = [chunks[i : i + 256] for i in range(0, len(chunks), 256)]
-    for part, e in zip(lines, tk.encode_batch_fast([glue.join(x) + glue for x in lines], add_special_tokens=False), strict=True):
+    for part, e in ((x, y) for k in range(0, len(lines), 32) for x, y in zip(lines[k : k + 32], tk.encode_batch_fast([glue.join(x) + glue for x in lines[k : k + 32]], add_special_tokens=False), strict=True)):
         ids = np.array(e.ids, dtype="<u4")
         stops = (np.flatnonzero(stop[ids]) + 1) * 4
         if len(stops) == len(part):
@@ -180,7 +176,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
+        for b in slices(batches, BLOCK):
             rows, ns, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for r, body in enumerate(ids_block(tokenizer, [t or "" for t in b.column(1).to_pylist()])):
                 body += tail
