@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.kb.store import KnowledgeStore
 from palimpsest.operators import diff, identity, projects, timeline
+from palimpsest.schemas import SNAPSHOTS
 
 
 def analyze(files: DataFrame, roots: DataFrame, kb: KnowledgeStore | None = None, mode: str = "auto", diff_mode: str = "compat") -> DataFrame:
@@ -23,3 +26,10 @@ def compare(before: DataFrame, after: DataFrame, mode: str = "compat") -> DataFr
     """Operations from one snapshot to another, as one project."""
     files = before.withColumn("snapshot_id", F.lit("0")).unionByName(after.withColumn("snapshot_id", F.lit("1")))
     return diff.derive_operations(files, identity.assign_identities(files), identity.numbered(files.select("snapshot_id").distinct()), mode)
+
+
+def compare_timeline(before: DataFrame, after: DataFrame, roots: tuple[str, str], mode: str = "compat") -> DataFrame:
+    """The timeline of two snapshots, named by their folder or manifest."""
+    names = [(str(i), i, None, str(Path(r).resolve())) for i, r in enumerate(roots)]
+    snaps = before.sparkSession.createDataFrame(names, SNAPSHOTS)
+    return timeline.build_timeline(snaps, compare(before, after, mode))

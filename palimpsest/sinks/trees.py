@@ -9,14 +9,31 @@ import subprocess
 from collections import defaultdict
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-MARKS = {"create": "+", "delete": "-", "modify": "~", "rename": ">", "move": ">", "copy": "="}
+from palimpsest.plans.analysis import compare
+from palimpsest.runtime import stored
+from palimpsest.sources.timelines import read_timeline
+from palimpsest.sources.tree import read_tree
+
+# How a change is shown to people, and where an exported snapshot keeps what is gone or has a new name.
+SHOWN = {
+    "create": "  + {target_path} (created)",
+    "delete": "  - {source_path} (deleted)",
+    "modify": "  ~ {source_path} (modified)",
+    "rename": "  > {source_path} -> {target_path}",
+    "move": "  > {source_path} -> {target_path}",
+    "copy": "  = {source_path} -> {target_path} (copied)",
+}
+DELETED, RENAMED, CHANGES = ".fh-deleted", ".fh-renamed", "CHANGES.txt"
+KINDS = ("create", "modify", "rename", "move", "delete", "copy")
 
 
 def _copy(src: Path, dst: Path) -> None:
-    dst.parent.mkdir(parents=True, exist_ok=True)
     if src.is_symlink() or src.exists():
+        dst.parent.mkdir(parents=True, exist_ok=True)
+        if dst.is_symlink():
+            dst.unlink()
         shutil.copy2(src, dst, follow_symlinks=False)
 
 
@@ -24,43 +41,145 @@ def _files(root: Path) -> list[Path]:
     return [p.relative_to(root) for p in sorted(root.rglob("*")) if p.is_file() or p.is_symlink()]
 
 
-def export_working_copy(timeline: DataFrame, folders: dict[str, str], out: str) -> None:
-    """Content/ is the latest tree; Snapshots/<id>/ holds each snapshot's files and CHANGES.txt; timeline.json keeps the
-    hashes and confidences, so that it can be read back whole."""
-    top, nodes = Path(out), [r.asDict(recursive=True) for r in timeline.orderBy("snapshot_idx").collect()]
-    for n in nodes:
-        src, dst = Path(folders[n["snapshot_id"]]), top / "Snapshots" / n["snapshot_id"]
-        for rel in _files(src):
-            _copy(src / rel, dst / rel)
-        dst.mkdir(parents=True, exist_ok=True)
-        told = [f"{MARKS[op['op_type']]} {op['target_path'] or op['source_path']}" for op in n["operations"]]
-        (dst / "CHANGES.txt").write_text(json.dumps({"machine": n["operations"], "human": "\n".join(told)}, indent=2))
-    if nodes:
-        shutil.copytree(folders[nodes[-1]["snapshot_id"]], top / "Content", dirs_exist_ok=True, symlinks=True)
-        link = top / "latest"
+def _nodes(timeline: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in timeline.orderBy("snapshot_idx").collect()]  # a row per snapshot
+
+
+def _changes(node: dict) -> str:
+    names = {"op_type": "op", "source_path": "old_path", "target_path": "new_path", "old_hash": "old_hash", "new_hash": "new_hash"}
+    machine = [{new: op[old] for old, new in names.items() if op[old] is not None} for op in node["operations"]]
+    human = [f"Snapshot: {node['snapshot_id']}"]
+    if node["timestamp"] is not None:
+        human.append(f"Timestamp: {node['timestamp']}")
+    human += ["", "Changes:", *[SHOWN[op["op_type"]].format(**op) for op in node["operations"] if op["op_type"] in SHOWN], "", f"{len(node['operations'])} operations"]
+    return json.dumps({"machine": machine, "human": "\n".join(human)}, indent=2)
+
+
+def _write_snapshot(top: Path, node: dict, folder: Path, before: Path | None, exclude_deleted: bool) -> None:
+    """Snapshots/<id>: the files, those deleted since `before`, links from old names to new ones, and the changes."""
+    own = top / "Snapshots" / node["snapshot_id"]
+    own.mkdir(parents=True, exist_ok=True)
+    for rel in _files(folder):
+        _copy(folder / rel, own / rel)
+    for op in node["operations"]:
+        if op["op_type"] == "delete" and before is not None and not exclude_deleted and op["source_path"]:
+            _copy(before / op["source_path"], own / DELETED / op["source_path"])
+        elif op["op_type"] in ("rename", "move") and op["source_path"] and op["target_path"]:
+            stub = own / RENAMED / op["source_path"]
+            stub.parent.mkdir(parents=True, exist_ok=True)
+            stub.unlink(missing_ok=True)
+            os.symlink(os.path.relpath(own / op["target_path"], stub.parent), stub)
+    (own / CHANGES).write_text(_changes(node))
+
+
+def _finish(top: Path, nodes: list[dict], latest: Path | None) -> None:
+    """Content/ as the latest tree, the link to the latest snapshot, and timeline.json last, replaced in one step."""
+    if nodes and latest is not None:
+        fresh = top / "Content.new"
+        shutil.rmtree(fresh, ignore_errors=True)
+        fresh.mkdir(parents=True)
+        for rel in _files(latest):
+            _copy(latest / rel, fresh / rel)
+        shutil.rmtree(top / "Content", ignore_errors=True)
+        fresh.rename(top / "Content")
+        link = top / "Snapshots" / "latest"
         link.unlink(missing_ok=True)
-        os.symlink(Path("Snapshots") / nodes[-1]["snapshot_id"], link)
+        os.symlink(nodes[-1]["snapshot_id"], link)
     flat = [{"snapshot_id": n["snapshot_id"], **op} for n in nodes for op in n["operations"]]
     heads = [{"id": n["snapshot_id"], "timestamp": n["timestamp"], "parent_id": n["parent_id"], "op_count": len(n["operations"])} for n in nodes]
-    (top / "timeline.json").write_text(json.dumps({"version": 1, "format": "working-copy", "snapshots": heads, "operations": flat}, indent=2))
+    fresh = top / "timeline.json.new"
+    fresh.write_text(json.dumps({"version": 1, "format": "working-copy", "snapshots": heads, "operations": flat}, indent=2))
+    fresh.replace(top / "timeline.json")
+
+
+def export_working_copy(timeline: DataFrame, folders: dict[str, str], out: str, exclude_deleted: bool = False) -> str:
+    """Path of timeline.json, which keeps hashes and confidences, so that the timeline can be read back whole.
+
+    Content/ is the latest tree. Snapshots/<id>/ holds a snapshot's own files rather than links into Content/, where
+    later snapshots would overwrite them; beside them lie CHANGES.txt, .fh-deleted/ and .fh-renamed/. Snapshots without
+    a folder keep their place in the timeline only.
+    """
+    top, nodes, before = Path(out), _nodes(timeline), None
+    (top / "Snapshots").mkdir(parents=True, exist_ok=True)
+    for n in nodes:
+        here = folders.get(n["snapshot_id"])
+        if here is not None:
+            _write_snapshot(top, n, Path(here), before, exclude_deleted)
+            before = Path(here)
+    _finish(top, nodes, before if nodes and nodes[-1]["snapshot_id"] in folders else None)
+    return str(top / "timeline.json")
+
+
+def round_trip(spark: SparkSession, out: str, folder: str, timestamp: float | None = None) -> str:
+    """Append a new snapshot, named by its folder, to an exported working copy; earlier snapshots are not touched.
+
+    It is compared with Content/, the whole latest tree. A name already in the timeline is an error.
+    """
+    top, new = Path(out), Path(folder)
+    nodes = _nodes(read_timeline(spark, str(top / "timeline.json")))
+    node = {"snapshot_id": new.resolve().name, "timestamp": timestamp, "parent_id": None, "operations": []}
+    if any(n["snapshot_id"] == node["snapshot_id"] for n in nodes):
+        raise ValueError(f"already in the timeline: {node['snapshot_id']}")
+    before = top / "Content"
+    if nodes:
+        node["parent_id"] = nodes[-1]["snapshot_id"]
+        before.mkdir(parents=True, exist_ok=True)
+        sides = [stored(read_tree(spark, str(p), single="true")) for p in (before, new)]
+        fields = ("op_type", "file_id", "source_path", "target_path", "old_hash", "new_hash", "confidence")
+        node["operations"] = [r.asDict() for r in compare(*sides).select(*fields).orderBy(*fields).collect()]
+    _write_snapshot(top, node, new, before if nodes else None, False)
+    _finish(top, [*nodes, node], new)
+    return str(top / "timeline.json")
+
+
+def _message(node: dict) -> str:
+    """Counts of distinct paths by kind, then the paths themselves."""
+    kinds: dict[str, dict[str, None]] = defaultdict(dict)
+    for op in node["operations"]:
+        kinds[op["op_type"]][op["target_path"] or op["source_path"] or op["file_id"]] = None
+    counts = ", ".join(f"{len(v)} {k}" for k, v in sorted(kinds.items())) or "no changes"
+    listed = "".join("\n".join(["", f"{k.title()}:", *[f"  {p}" for p in kinds[k]]]) for k in KINDS if k in kinds)
+    return f"Snapshot: {node['snapshot_id']}\n\n{counts}{listed}"
+
+
+def _metadata(folder: Path) -> str:
+    """Times and modes of the files, which git does not keep, and the folders without anything in them."""
+    told = {}
+    for rel in _files(folder):
+        s = os.lstat(folder / rel)
+        told[rel.as_posix()] = {"ctime_ns": s.st_ctime_ns, "mtime_ns": s.st_mtime_ns, "mode": s.st_mode}
+    bare = sorted(Path(here).relative_to(folder).as_posix() for here, dirs, names in os.walk(folder) if not dirs and not names)
+    return json.dumps({"files": told, "empty_dirs": bare}, indent=2)
 
 
 def export_git(timeline: DataFrame, folders: dict[str, str], out: str, name: str = "history", email: str = "history@localhost", branch: str = "main") -> None:
-    """A commit per snapshot with the snapshot's exact tree (deletes included) and a note with confidences."""
+    """A commit per snapshot with the snapshot's exact tree (deletes included) and notes with metadata and confidences.
+    Snapshots without a folder get no commit."""
     top = Path(out)
     top.mkdir(parents=True, exist_ok=True)
-    git = lambda *a: subprocess.run(["git", "-C", out, "-c", f"user.name={name}", "-c", f"user.email={email}", *a], check=True, capture_output=True, text=True)
+
+    def git(*args: str, told: str | None = None) -> None:
+        subprocess.run(["git", "-C", out, "-c", f"user.name={name}", "-c", f"user.email={email}", *args], check=True, capture_output=True, text=True, input=told)
+
     git("init", "-q", "-b", branch)
-    for n in (r.asDict(recursive=True) for r in timeline.orderBy("snapshot_idx").collect()):
+    for n in _nodes(timeline):
+        here = folders.get(n["snapshot_id"])
+        if here is None:
+            continue
         for p in top.iterdir():
             if p.name != ".git":
                 shutil.rmtree(p) if p.is_dir() and not p.is_symlink() else p.unlink()
-        src = Path(folders[n["snapshot_id"]])
-        for rel in _files(src):
-            _copy(src / rel, top / rel)
-        kinds = defaultdict(set)
-        for op in n["operations"]:
-            kinds[op["op_type"]].add(op["target_path"] or op["source_path"])
+        for rel in _files(Path(here)):
+            _copy(Path(here) / rel, top / rel)
         git("add", "-A")
-        git("commit", "-q", "--allow-empty", "-m", f"{n['snapshot_id']}: " + (", ".join(f"{len(v)} {k}" for k, v in sorted(kinds.items())) or "no changes"))
-        git("notes", "--ref", "fh/confidence", "add", "-f", "-m", json.dumps({op["file_id"]: op["confidence"] for op in n["operations"]}))
+        git("commit", "-q", "--allow-empty", "-F", "-", told=_message(n))
+        git("notes", "--ref", "fh/metadata", "add", "-f", "-F", "-", told=_metadata(Path(here)))
+        if n["operations"]:
+            git("notes", "--ref", "fh/confidence", "add", "-f", "-F", "-", told=json.dumps({op["file_id"]: op["confidence"] for op in n["operations"]}, indent=2))
+
+
+def export_git_from_json(spark: SparkSession, timeline_json: str, snapshots: str, out: str, **options: str) -> None:
+    """The same from a stored timeline; a snapshot's folder is snapshots/<id>, and those without one are passed over."""
+    timeline = stored(read_timeline(spark, timeline_json))
+    found = {r[0]: str(Path(snapshots) / r[0]) for r in timeline.select("snapshot_id").collect()}  # a row per snapshot
+    export_git(timeline, {k: p for k, p in found.items() if Path(p).is_dir()}, out, **options)

@@ -7,7 +7,10 @@ import subprocess
 import pytest
 
 from palimpsest import cli
-from palimpsest.sources import tree
+from palimpsest.kb.store import KnowledgeStore
+from palimpsest.plans import analysis
+from palimpsest.sinks import trees
+from palimpsest.sources import timelines, tree
 
 
 @pytest.fixture
@@ -41,13 +44,75 @@ def test_cli(spark, root, capsys, monkeypatch):
     assert cli.main(["diff", str(root / "in/S0"), str(root / "in/S1")]) == 0
     out = capsys.readouterr().out
     assert "rename a.txt b.txt 1.0" in out and "modify .hidden .hidden 1.0" in out
-    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "t.json")]) == 0
+    kb = ["--kb-path", str(root / "kb")]
+    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "t.json"), *kb]) == 0
     assert [n["snapshot_id"] for n in json.loads((root / "t.json").read_text())["nodes"]] == ["S0", "S1"]
-    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "g"), "--format", "git"]) == 0
+    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "g"), "--format", "git", *kb]) == 0
     assert subprocess.run(["git", "-C", str(root / "g"), "ls-files"], capture_output=True, text=True, check=True).stdout.split() == [".hidden", "b.txt", "d/e", "link"]
-    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "w"), "--format", "working-copy"]) == 0
-    assert (root / "w/latest/b.txt").read_text() == "one"
-    assert cli.main(["analyze", str(root / "none"), "--out", str(root / "x")]) == 1
+    assert cli.main(["analyze", str(root / "in"), "--out", str(root / "w"), "--format", "working-copy", *kb]) == 0
+    assert (root / "w/Snapshots/latest/b.txt").read_text() == "one"
+    assert cli.main(["analyze", str(root / "none"), "--out", str(root / "x"), *kb]) == 1
+
+
+def test_timeline_read_back(spark, root):
+    ops = [{"op_type": "rename", "file_id": "d/a", "source_path": "d/a", "target_path": "e/b", "confidence": 0.8}, {"source_path": "f/c"}, None]
+    (root / "n.json").write_text(json.dumps({"nodes": [{"snapshot_id": "S0"}, None, {"snapshot_id": "S1", "parent_id": "S0", "operations": ops}]}))
+    nested = timelines.read_timeline(spark, str(root / "n.json")).orderBy("snapshot_idx").collect()
+    assert [(r.snapshot_id, r.parent_id, len(r.operations)) for r in nested] == [("S0", None, 0), ("S1", "S0", 2)]
+    assert tuple(nested[1].operations[1]) == ("modify", "", "f/c", None, None, None, 1.0)
+    flat = {"snapshots": [{"id": "S0"}, {"id": "S1", "timestamp": 5}], "operations": [{"snapshot_id": "S1", **ops[1]}, {"snapshot_id": "S1", **ops[0]}, {"snapshot_id": "gone"}]}
+    (root / "f.json").write_text(json.dumps(flat))
+    back = timelines.read_timeline(spark, str(root / "f.json"))
+    assert [(r.snapshot_id, r.timestamp, [o.source_path for o in r.operations]) for r in back.orderBy("snapshot_idx").collect()] == [("S0", None, []), ("S1", 5.0, ["f/c", "d/a"])]
+    part = timelines.subtree(back, "e/").orderBy("snapshot_idx").collect()
+    assert [[(o.source_path, o.target_path, o.file_id) for o in r.operations] for r in part] == [[], [("d/a", "b", "d/a")]]
+    assert timelines.subtree(back, ".") is back
+    with pytest.raises(FileNotFoundError):
+        timelines.read_timeline(spark, str(root / "none.json"))
+
+
+def test_working_copy_grows(spark, root):
+    (root / "in/S1/d/e").unlink()
+    dirs = {i: str((root / f"in/S{i}").rename(root / "in" / i)) for i in ("0", "1")}
+    found = analysis.compare_timeline(*[tree.read_tree(spark, f, single="true") for f in dirs.values()], tuple(dirs.values()))
+    out = root / "w"
+    trees.export_working_copy(found, dirs, str(out))
+    assert (out / "Snapshots/1/.fh-deleted/d/e").read_text() == "x" and (out / "Snapshots/1/.fh-renamed/a.txt").read_text() == "one"
+    assert "  - d/e (deleted)" in json.loads((out / "Snapshots/1/CHANGES.txt").read_text())["human"]
+    trees.export_working_copy(found, dirs, str(root / "w2"), exclude_deleted=True)
+    assert not (root / "w2/Snapshots/1/.fh-deleted").exists()
+    new = root / "S2"
+    new.mkdir()
+    (new / "c.txt").write_text("one")
+    (new / ".hidden").write_text("h2")
+    os.symlink("nowhere", new / "link")
+    trees.round_trip(spark, str(out), str(new))
+    rows = timelines.read_timeline(spark, str(out / "timeline.json")).orderBy("snapshot_idx").collect()
+    assert [(r.snapshot_id, r.parent_id) for r in rows] == [("0", None), ("1", "0"), ("S2", "1")]
+    assert [tuple(o)[:4] for o in rows[2].operations] == [("rename", "b.txt", "b.txt", "c.txt")]
+    assert sorted(p.name for p in (out / "Content").iterdir()) == [".hidden", "c.txt", "link"] and os.readlink(out / "Snapshots/latest") == "S2"
+    with pytest.raises(ValueError):
+        trees.round_trip(spark, str(out), str(new))
+    trees.export_git_from_json(spark, str(out / "timeline.json"), str(root / "in"), str(root / "g"))
+    git = lambda *a: subprocess.run(["git", "-C", str(root / "g"), *a], capture_output=True, text=True, check=True).stdout
+    assert git("log", "--format=%s").split("\n")[:2] == ["Snapshot: 1", "Snapshot: 0"]
+    assert set(json.loads(git("notes", "--ref", "fh/metadata", "show", "HEAD"))["files"]) == {".hidden", "b.txt", "link"}
+
+
+def test_corrections_and_rollback(spark, root, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "local_session", lambda: spark)
+    kb = ["--kb-path", str(root / "kb")]
+    (root / "c.json").write_text(json.dumps([{"hash": "h", "override_cluster_uid": "u"}, {"hash": "x"}, 3, {"hash": "h", "override_cluster_uid": "v"}]))
+    run = ["analyze", str(root / "in"), "--out", str(root / "t.json"), *kb]
+    assert cli.main([*run, "--apply", str(root / "c.json")]) == 0 and "2 corrections" in capsys.readouterr().out
+    assert [tuple(r) for r in KnowledgeStore(spark, str(root / "kb")).open().tables["identities"].collect()] == [("h", "v", 1.0)]
+    assert cli.main([*run, "--kb-rollback", "7"]) == 1
+    (root / "bad.json").write_text("{}")
+    assert cli.main([*run, "--apply", str(root / "bad.json")]) == 1
+    capsys.readouterr()
+    assert cli.main(["log", str(root / "t.json"), "--subtree", "d"]) == 0 and "commit S1" in capsys.readouterr().out
+    assert cli.main(["diff", str(root / "in/S0"), str(root / "in/S1"), "--format", "json"]) == 0
+    assert [len(n["operations"]) for n in json.loads(capsys.readouterr().out)["nodes"]] == [0, 2]
 
 
 def test_follow_manifests(spark, root):
