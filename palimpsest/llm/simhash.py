@@ -174,7 +174,25 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
 
 
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
-    """docs without the rows that are not their component's smallest id; a row without an id stays."""
+    """docs with one row of each component, the one with the smallest id; all columns stay.
+
+    Where ids repeat or are null, rows are numbered first: a null id comes last, and of equal ids the row with the
+    smallest hash of its text stays, one of them if the texts are equal too.
+    """
+    if docs.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count():
+        return _drop_by_row(docs, id, text, k, tau)
     found = near_duplicates(docs, id, text, k, tau)
     gone = found.where(F.col(id) > F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
     return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+
+
+def _drop_by_row(docs: DataFrame, id: str, text: str, k: int, tau: int) -> DataFrame:
+    """The same by a number of each row, which is stored with it and so stays the same when a task runs again."""
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = near_duplicates(rows, row, text, k, tau).select(F.col(row).alias("row"), F.col("component_id").alias("component"))
+    keys = rows.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("a"), F.col(id).alias("b"), F.xxhash64(text).alias("c"), F.col(row).alias("d")).alias("rank"))
+    best = found.join(keys, "row").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.d").alias("_best"))
+    return rows.join(best, rows[row] == best["_best"], "left_semi").drop(row)

@@ -83,6 +83,31 @@ def test_simhash(spark, rows, monkeypatch, crowded):
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{fps[i, t]:016x}", min(low[find(fps[i, t])])) for i, t, *_ in rows)
 
 
+def test_drop_near_duplicates(spark):
+    long = " ".join(f"w{i}" for i in range(300))
+    near = long + " w0"
+    other = "quite another text with words of its own"
+    make_ids = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, _row string, _gone long")
+    told = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r._row) for r in df.collect())
+    assert (plain_print(long) ^ plain_print(near)).bit_count() <= 2
+    plain = make_ids([(1, other, "a", 1), (2, long, "b", 1), (3, near, "c", 1), (4, None, "d", 1), (5, "", "e", 1)])
+    left = simhash.drop_near_duplicates(plain)
+    assert told(left) == [(1, "a"), (2, "b"), (4, "d")] and left.columns == plain.columns
+    again = make_ids([(2, long, "a", 1), (3, near, "b", 1), (3, other, "c", 1), (2, long, "a", 1), (None, long, "d", 1), (None, "alone in the table", "e", 1)])
+    left = simhash.drop_near_duplicates(again)
+    assert told(left) == [(-1, "e"), (2, "a"), (3, "c")] and left.columns == again.columns
+    assert simhash.drop_near_duplicates(plain.where("false")).count() == 0
+    assert simhash.near_duplicates(plain.where("false")).count() == 0
+
+
+def test_empty_tables(spark):
+    none = make(spark, []).where("false")
+    assert substring_dedup.duplicate_spans(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+    assert language_id.keep_identified(none).count() == 0 and line_quality.cleaned(none).count() == 0
+    assert mixing.mixed(none).count() == 0 and packing.packed(none, tokenizer_path("word_bpe_49k.json")).count() == 0
+    assert tokens.token_counts(none, tokenizer_path("piece_bpe_32k.model")).count() == 0
+
+
 def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([[0, 9, 9], [0, 1, 2], [0, 1, 9]], 0) == (3.0, [-1, 1, 0]) or simhash.allocate([[0, 9, 9], [0, 1, 2], [0, 1, 9]], 0)[0] == 3
 
