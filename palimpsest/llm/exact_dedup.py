@@ -17,6 +17,8 @@ from palimpsest.runtime import stored
 
 #: Bits per bitmap row in Spark's bitmap functions.
 ROW_BITS = 32768
+#: Groups with more than this part of the shared rows are hot; there are fewer of them than this, whatever the input.
+HOT_PARTS = 10_000
 
 
 def bitmap(keys: DataFrame, bits: int) -> DataFrame:
@@ -56,10 +58,16 @@ def exact_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", extra:
     extra = extra or {}
     found = refined(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *[e.alias(k) for k, e in extra.items()]), "_text").drop("_text")
     found = stored(found)
-    groups = found.where("_sha is not null").groupBy("_len", "_sha").agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    key, rows = ["_len", "_sha"], found.where("_sha is not null")
+    groups = stored(rows.groupBy(*key).agg(F.max("_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    most = (groups.agg(F.sum("group_size")).first()[0] or 0) / HOT_PARTS
+    # rows of hot groups stay where they are; the others are dealt by key, none with more than 1/HOT_PARTS of the rows
+    hot, rest = F.broadcast(groups.where(F.col("group_size") > most)), groups.where(F.col("group_size") <= most)
     alone = found.where("_sha is null").select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *extra)
-    shared = found.where("_sha is not null").join(groups, ["_len", "_sha"]).select("_id", "keep_id", "group_size", *extra)
-    out = alone.unionByName(shared)
+    shared = [rows.join(hot, key), rows.join(hot.select(*key), key, "left_anti").join(rest, key)]
+    out = alone
+    for part in shared:
+        out = out.unionByName(part.select("_id", "keep_id", "group_size", *extra))
     return out.select(F.col("_id").alias(id), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), *extra)
 
 

@@ -38,6 +38,16 @@ def rows():
     return out
 
 
+def test_exact_copies_hot_and_other_groups(spark, monkeypatch):
+    data = [(i, "hot" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"alone {i}", None, None) for i in range(120)]
+    size = Counter(t for _, t, _, _ in data)
+    top = {t: i for i, t, _, _ in data}
+    want = sorted((i, top[t], size[t], i == top[t]) for i, t, _, _ in data)
+    for parts in (1, 10, 10_000):  # no group, one group, every group is hot
+        monkeypatch.setattr(exact_dedup, "HOT_PARTS", parts)
+        assert sorted(tuple(r) for r in exact_dedup.exact_copies(make(spark, data)).collect()) == want
+
+
 def test_exact_copies(spark, rows):
     groups = defaultdict(list)
     for i, t, *_ in rows:
