@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 SEED = 8
 #: Words parsed at a time; a longer document is read in parts that overlap by a phrase less one word.
 PART = 1 << 19
+#: A key that a task meets so often in one batch is known to repeat: its rows need not be gathered.
+OFTEN = 8
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,16 +96,42 @@ def factors(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(int(g[0]), int(g[-1] - g[0] + size)) for g in np.split(s, cut)]
 
 
+def marked(h: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to take from a batch, and their h: ~h (negative) for rows whose key occurs OFTEN in the batch.
+
+    One more row of each such key comes last with its h unchanged; it tells the key to the task that compares it.
+    """
+    n = len(h)
+    if n < OFTEN:
+        return np.arange(n), h
+    order = np.lexsort(keys)
+    new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)))
+    first = np.flatnonzero(new)
+    often = np.diff(np.append(first, n)) >= OFTEN
+    known = np.zeros(n, bool)
+    known[order] = often[np.cumsum(new) - 1]
+    told = order[first[often]]
+    return np.concatenate((np.arange(n), told)), np.concatenate((np.where(known, ~h, h), h[told]))
+
+
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys occur twice or more, without gathering any group.
+    """The rows whose keys occur twice or more, without gathering any group; h comes from `marked`.
 
-    One shuffle by the keys; each task then reads its rows in key order and compares neighbours, one batch at a time,
-    so a key of any number of rows needs no memory and the rows are not shuffled again for a join.
+    One shuffle: rows of unknown keys by the keys, rows known to repeat by their whole content, so that a key which a
+    third of all rows hold is spread over all tasks. Each task then reads its rows in key order and compares
+    neighbours, one batch at a time, so a key of any number of rows needs no memory and no join.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, whose right neighbour is in the next batch
         twin = False  # it equals its left neighbour
+
+        def chosen(b: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
+            at = b.schema.get_field_index("h")
+            h = b.column(at).to_numpy(zero_copy_only=False)
+            b = b.set_column(at, b.schema.field(at), pa.array(np.where(h < 0, ~h, h)))
+            return b.filter(pa.array(keep | (h < 0)))
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -114,25 +142,28 @@ def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
                 equal &= col[1:] == col[:-1]
             keep = np.concatenate(([twin], equal)) | np.concatenate((equal, [False]))
             twin, held = bool(equal[-1]) if len(equal) else twin, b.slice(b.num_rows - 1)
-            yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
-        if held is not None and twin:
-            yield held
+            yield chosen(b.slice(0, b.num_rows - 1), keep[:-1])
+        if held is not None:
+            yield chosen(held, np.array([twin]))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+    known = F.col("h") < 0
+    dealt = [F.when(known, F.xxhash64(*rows.columns)), *[F.when(~known, F.col(k)) for k in keys]]
+    return rows.repartition(*dealt).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
 
 
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
     """(id, n_words, n_removed, spans, kept_text) for every row of docs."""
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))  # its sign is free for `marked`
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [anchors_of(_words(t.as_py()), size) for t in b.column(1)]
             rows = np.repeat(np.arange(len(got)), [len(g) for g in got])
             flat = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(2).take(pa.array(rows)), pa.array(flat)], names=["id", "h", "anchor"])
+            take, h = marked(b.column(2).to_numpy()[rows], flat)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(flat[take])], names=["id", "h", "anchor"])
 
     def emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,7 +172,9 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 got = [phrases_of(_words(t.as_py()), size, np.array(w.as_py(), np.int64).view(np.uint64)) for t, w in zip(c.column(1), c.column(3), strict=True)]
                 rows = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 hashes = np.concatenate([g[1] for g in got])
-                cols = [c.column(0).take(pa.array(rows)), c.column(2).take(pa.array(rows)), pa.array(np.concatenate([g[0] for g in got]).astype(np.int32)), pa.array(hashes[:, 0]), pa.array(hashes[:, 1].astype(np.int32))]
+                starts, p1, p2 = np.concatenate([g[0] for g in got]).astype(np.int32), hashes[:, 0], hashes[:, 1].astype(np.int32)
+                take, h = marked(c.column(2).to_numpy()[rows], p1, p2)
+                cols = [c.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(starts[take]), pa.array(p1[take]), pa.array(p2[take])]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "start", "p1", "p2"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

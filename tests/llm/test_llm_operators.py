@@ -122,6 +122,31 @@ def test_thresholds_are_allocated_by_cost():
     assert simhash.allocate([[0, 9, 9], [0, 1, 2], [0, 1, 9]], 0) == (3.0, [-1, 1, 0]) or simhash.allocate([[0, 9, 9], [0, 1, 2], [0, 1, 9]], 0)[0] == 3
 
 
+def test_substring_dedup_of_a_passage_in_most_documents(spark):
+    r, size = random.Random(5), 35
+    body = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    common, twice, copy = body(60), body(40), body(90)
+    docs = [body(r.randint(0, 50)) + (common[r.randint(0, 20) :] if i % 3 else []) + body(r.randint(0, 30)) for i in range(240)]
+    docs += [copy] * 60 + [body(9) + twice, twice + body(4), ["again"] * 80]
+    seen = Counter(tuple(w[i : i + size]) for w in docs for i in range(len(w) - size + 1))
+    want = {}
+    for n, w in enumerate(docs):
+        gone = {k for i in range(len(w) - size + 1) if seen[tuple(w[i : i + size])] > 1 for k in range(i, i + size)}
+        want[n] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
+    table = make(spark, [(n, " ".join(w), None, None) for n, w in enumerate(docs)])
+    for parts in (1, 40):  # all in one batch, or a few in each
+        got = substring_dedup.duplicate_spans(table.repartition(parts)).collect()
+        assert len(got) == len(docs) and {x.doc_id: (x.n_words, x.n_removed, x.kept_text) for x in got} == want
+
+
+def test_rows_known_to_repeat_are_marked():
+    keys = np.array([5] * 9 + [6] * 7 + [7] * 8 + [8])
+    take, h = substring_dedup.marked(np.arange(25), keys, np.zeros(25, int))
+    assert take[:25].tolist() == list(range(25)) and sorted(keys[take[25:]].tolist()) == [5, 7]
+    assert [x < 0 for x in h[:25]] == [k in (5, 7) for k in keys] and (h[25:] >= 0).all()
+    assert len(substring_dedup.marked(np.arange(0), np.arange(0))[0]) == 0
+
+
 def test_substring_dedup(spark, rows):
     size = 35
     words = [(t or "").split() for _, t, *_ in rows]
