@@ -7,6 +7,20 @@ import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows and bytes of a batch between the JVM and a worker.
+BATCH_ROWS = 1500
+BATCH_BYTES = "16m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a task holds twice, in an Arrow buffer beside the JVM's heap and in its worker; lower settings stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, "1b") == "1b":  # not set by the user
+        spark.conf.set(size, BATCH_BYTES)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

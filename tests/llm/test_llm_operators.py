@@ -320,3 +320,19 @@ def test_pipeline(spark):
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_small_batches_keep_lower_settings(spark):
+    from palimpsest.llm.worker import BATCH_ROWS, small_batches
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        small_batches(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == (str(BATCH_ROWS), "16m")
+        spark.conf.set(rows, "100")
+        spark.conf.set(size, "1m")
+        small_batches(spark)
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("100", "1m")
+    finally:
+        spark.conf.unset(rows)
+        spark.conf.unset(size)
