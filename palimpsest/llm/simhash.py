@@ -14,7 +14,7 @@ component is named by its smallest non-null id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -179,20 +179,27 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     Where ids repeat or are null, rows are numbered first: a null id comes last, and of equal ids the row with the
     smallest hash of its text stays, one of them if the texts are equal too.
     """
+    return drop_by_component(docs, id, text, lambda rows, name: near_duplicates(rows, name, text, k, tau))
+
+
+def drop_by_component(docs: DataFrame, id: str, text: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The same for any find(rows, id) that gives (id, component_id); rows it leaves out are alone and stay."""
     if docs.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count():
-        return _drop_by_row(docs, id, text, k, tau)
-    found = near_duplicates(docs, id, text, k, tau)
+        return _drop_by_row(docs, id, text, find)
+    found = find(docs, id)
     gone = found.where(F.col(id) > F.col("component_id")).select(F.col(id).alias("_gone")).distinct()
     return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
 
 
-def _drop_by_row(docs: DataFrame, id: str, text: str, k: int, tau: int) -> DataFrame:
+def _drop_by_row(docs: DataFrame, id: str, text: str, find: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """The same by a number of each row, which is stored with it and so stays the same when a task runs again."""
     row = "_row"
     while row in docs.columns:
         row += "_"
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()))
-    found = near_duplicates(rows, row, text, k, tau).select(F.col(row).alias("row"), F.col("component_id").alias("component"))
+    found = find(rows, row).select(F.col(row).alias("row"), F.col("component_id").alias("component"))
     keys = rows.select(F.col(row).alias("row"), F.struct(F.col(id).isNull().alias("a"), F.col(id).alias("b"), F.xxhash64(text).alias("c"), F.col(row).alias("d")).alias("rank"))
-    best = found.join(keys, "row").groupBy("component").agg(F.min("rank").alias("rank")).select(F.col("rank.d").alias("_best"))
-    return rows.join(best, rows[row] == best["_best"], "left_semi").drop(row)
+    ranked = found.join(keys, "row")
+    best = ranked.groupBy("component").agg(F.min("rank").alias("rank"))
+    gone = ranked.join(best.withColumnRenamed("rank", "best"), "component").where("rank.d <> best.d").select(F.col("row").alias("_gone"))
+    return rows.join(gone, rows[row] == gone["_gone"], "left_anti").drop(row)
