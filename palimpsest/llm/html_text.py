@@ -4,7 +4,8 @@ Every element and text of a page is a node with a hidden state, content or not.
 likelihood per node are counted from labelled pages (`labelled_pages`); sum-product messages, upward and then
 downward, give each text's exact marginal, and texts above one half are the main text.
 
-Defined cases: a null or empty page gives the empty string; unclosed and stray tags are tolerated; scripts, styles,
+Defined cases: a null or empty page gives the empty string; unclosed and stray tags are tolerated (a
+head ends at the first tag or text that cannot stand in it; only a script without its end tag takes the rest of the page); scripts, styles,
 comments and form controls are never text; pages are read one by one, so repeats are equal.
 """
 
@@ -25,17 +26,51 @@ from palimpsest.llm.labelled_pages import labelled_pages
 
 # HTML's own element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas textarea select button datalist audio video math title head".split())
+RAW = frozenset("script style noscript template svg iframe object canvas textarea select button datalist audio video math title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dd div dl dt fieldset figure figcaption footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+#: What may stand in a head without ending it, besides the elements of RAW among them.
+HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+#: Without an end tag, only these elements' own text goes; of other elements of RAW just the tag.
+LABELS = frozenset("title style textarea button select datalist".split())
+OPTIONS = frozenset("option optgroup".split())
 PARTS = frozenset("html main article section nav aside header footer form dialog menu address".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+SCRIPT_END = re.compile(r"</script\s*>", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
 
+def raw_ends(page: str, tag: str) -> dict[int, int]:
+    """Where elements of RAW end, by where their start tags end; an end tag closes the nearest open start tag."""
+    ends: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.compile(f"<(/?){tag}(?![^\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                opened.append(m.end())
+        elif opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
+def unclosed_end(page: str, tag: str, at: int) -> int:
+    """Where an element of RAW without an end tag ends: after its label, if it has one."""
+    if tag not in LABELS:
+        return at
+    first = -1
+    for m in TOKEN.finditer(page, at):
+        if first < 0:
+            first = m.start()
+        name = (m[2] or "").lower()
+        if tag in ("select", "datalist") and name in OPTIONS or tag == "button" and name in INLINE and name != "br":
+            continue
+        return m.start()
+    return first if first >= 0 else len(page)
+
+
 class Node:
     __slots__ = ("children", "features", "label", "linked", "parent", "prior", "size", "state", "tag", "text", "up")
 
@@ -52,12 +87,15 @@ def parse(page: str) -> list[Node]:
     """All nodes in page order, parents before children; text nodes have the tag '#'."""
     root = Node("html", None)
     nodes, here, at, end = [root], root, 0, len(page)
+    in_head = False
+    closed: dict[str, dict[int, int]] = {}
     find = TOKEN.search
     while at < end:
         m = find(page, at)
         text = page[at : m.start() if m else end]
         if text and (text.strip() or here.tag not in ("html", "body")):
             nodes.append(Node("#", here, text=_html.unescape(text) if "&" in text else text))
+            in_head = False
         if m is None:
             break
         at, tag = m.end(), m[2]
@@ -65,18 +103,28 @@ def parse(page: str) -> list[Node]:
             continue
         tag = tag.lower()
         if m[1]:
+            in_head = in_head and tag not in ("head", "body", "html")
             up = here
             while up is not None and up.tag != tag:
                 up = up.parent
             if up is not None and up.parent is not None:
                 here = up.parent
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
+            in_head = tag == "head"
             continue
+        in_head = in_head and tag in HEAD
         if tag in RAW:
-            if not m[3].endswith("/"):
-                stop = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+            if tag == "script":
+                if not m[3].endswith("/"):
+                    stop = SCRIPT_END.search(page, at)
+                    at = stop.end() if stop else end
+            elif not m[3].endswith("/"):
+                if tag not in closed:
+                    closed[tag] = raw_ends(page, tag)
+                at = closed[tag].get(at) or unclosed_end(page, tag, at)
+            continue
+        if in_head:
             continue
         shut = {"p"} if tag in CLOSES_P else SAME.get(tag)
         if shut:
