@@ -164,3 +164,13 @@ SQL: dict[str, str] = {
  SELECT dir, CASE WHEN bool_or(f) AND bool_or(s) THEN 'mixed' WHEN bool_or(f) THEN 'files_only' ELSE 'dirs_only' END AS kind FROM d GROUP BY dir""",
 }
 SQL["diff_two_snapshots"] = SQL["history_operations"].replace("(SELECT DISTINCT snapshot_id FROM files))", "(SELECT DISTINCT snapshot_id FROM files))").replace("content FROM raw)", "content FROM raw WHERE snapshot_id IN ('F0/S1', 'F0/S2'))", 1)
+
+_NEIGHBOURS = ", n AS (SELECT files.*, snapshot_idx FROM files JOIN snaps USING (snapshot_id)), a AS (SELECT *, snapshot_idx::INT AS pair_idx FROM n), b AS (SELECT *, (snapshot_idx - 1)::INT AS pair_idx FROM n)"
+SQL["content_cost_consecutive"] = _HEAD + _NEIGHBOURS + f" SELECT a.pair_idx, a.path, ({_CONTENT})::DOUBLE AS cost FROM a JOIN b USING (pair_idx, path)"
+SQL["metadata_cost_consecutive"] = _HEAD + _NEIGHBOURS + f" SELECT a.pair_idx, a.path, ({_META})::DOUBLE AS cost FROM a JOIN b USING (pair_idx, path)"
+SQL["path_cost_consecutive"] = _HEAD + _NEIGHBOURS + " SELECT a.pair_idx, a.path AS path_a, b.path AS path_b, round(1 - jaro_winkler_similarity(a.path, b.path), 6) AS cost FROM a JOIN b USING (pair_idx, norm_hash)"
+SQL["fused_matches_consecutive"] = (
+    _HEAD
+    + _NEIGHBOURS
+    + f", p AS (SELECT a.pair_idx, a.path AS path_a, b.path AS path_b, ({_CONTENT}) * 0.6 + (1 - jaro_winkler_similarity(a.path, b.path)) * 0.3 + ({_META}) * 0.1 AS cost FROM a JOIN b ON a.pair_idx = b.pair_idx AND a.size = b.size) SELECT pair_idx, path_a, path_b, round(cost, 6) AS cost FROM p WHERE cost < 0.5"
+)

@@ -11,7 +11,7 @@ from palimpsest.functions.paths import path_change
 from palimpsest.functions.similarity import content_cost, metadata_cost, path_cost
 from palimpsest.kb import rules
 from palimpsest.operators import consistency, diff, identity, match, projects, signals, timeline
-from palimpsest.runtime import stored
+from palimpsest.runtime import small, stored
 from palimpsest.sources import discovery
 from palimpsest.sources.testdata import doc_files, history_files, snapshots
 
@@ -184,6 +184,39 @@ def fused_matches(spark: SparkSession, d: str) -> DataFrame:
     return signals.match_files(*_sides(spark, d)).select("path_a", "path_b", F.round("cost", 6).alias("cost"))
 
 
+def _neighbours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every snapshot's files on the left, and on the right those of its successor, under the same pair_idx."""
+    files = history_files(spark, d)
+    rows = files.join(small(snapshots(files).select("snapshot_id", "snapshot_idx")), "snapshot_id")
+    return rows.withColumn("pair_idx", F.col("snapshot_idx")).alias("a"), rows.withColumn("pair_idx", F.col("snapshot_idx") - 1).alias("b")
+
+
+@query
+def content_cost_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _neighbours(spark, d)
+    cost = content_cost(*[F.col(f"{s}.{c}") for s in "ab" for c in ("size", "raw_hash", "fast_hash")])
+    return a.join(b, (F.col("a.pair_idx") == F.col("b.pair_idx")) & (F.col("a.path") == F.col("b.path"))).select("a.pair_idx", "a.path", cost.alias("cost"))
+
+
+@query
+def metadata_cost_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _neighbours(spark, d)
+    cost = metadata_cost(F.col("a.mtime_ns"), F.col("a.mode"), F.col("b.mtime_ns"), F.col("b.mode"))
+    return a.join(b, (F.col("a.pair_idx") == F.col("b.pair_idx")) & (F.col("a.path") == F.col("b.path"))).select("a.pair_idx", "a.path", cost.alias("cost"))
+
+
+@query
+def path_cost_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _neighbours(spark, d)
+    pairs = a.join(b, (F.col("a.pair_idx") == F.col("b.pair_idx")) & (F.col("a.norm_hash") == F.col("b.norm_hash"))).select("a.pair_idx", F.col("a.path").alias("path_a"), F.col("b.path").alias("path_b"))
+    return pairs.withColumn("cost", F.round(path_cost("path_a", "path_b"), 6))
+
+
+@query
+def fused_matches_consecutive(spark: SparkSession, d: str) -> DataFrame:
+    return signals.match_files(*_neighbours(spark, d), keys=("pair_idx",)).select("pair_idx", "path_a", "path_b", F.round("cost", 6).alias("cost"))
+
+
 @query
 def root_changes(spark: SparkSession, d: str) -> DataFrame:
     return timeline.root_changes(snapshots(history_files(spark, d)))
