@@ -11,7 +11,6 @@ from palimpsest.functions import content, paths, similarity
 from palimpsest.kb import feedback, rules
 from palimpsest.kb.store import KnowledgeStore
 from palimpsest.operators import consistency, diff, identity, projects, signals, timeline
-from palimpsest.operators.components import connected_components
 from palimpsest.sources import discovery
 
 
@@ -117,12 +116,6 @@ def test_consistency_and_inner_loop(spark):
     assert report.passes and report.iterations_used == 1
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "src long, dst long")
-    got = {r.node: r.component for r in connected_components(edges).collect()}
-    assert set(got.values()) == {0, 100} and len(got) == 63
-
-
 def test_store_versions_and_rollback(spark, tmp_path):
     kb = KnowledgeStore(spark, str(tmp_path)).open()
     for uid in ("u1", "u2"):
