@@ -194,11 +194,12 @@ def predicted(docs: DataFrame, texts: dict[str, str], id: str = "doc_id", text:
 def keep_identified(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs without the rows that get no language; columns and row contents stay as they are."""
     texts = training_text(docs, id, text, lang)
-    names = docs.columns
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = _model(texts).predict(b.column(b.schema.get_field_index(text)).to_pylist())
+            got = _model(texts).predict(b.column(at).to_pylist())
             yield b.filter(pa.array([g[0] != "und" for g in got], pa.bool_()))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # a worker's columns may have no dots in their names
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

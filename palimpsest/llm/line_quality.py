@@ -17,7 +17,7 @@ NAVIGATION = "( [|»›·•>] [^|»›·•>]*){3}"
 
 def words(text: Column) -> Column:
     """The words of a text; no word gives an empty array, null the same."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{SPACE}]+"))
 
 

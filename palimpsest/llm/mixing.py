@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.runtime import small, stored
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: White space between words: space and U+0009 to U+000D.
+SPACES = " \t\n\x0b\x0c\r"
 CELLS = 4096
 EPOCHS = 3
 
 
 def n_words(text: Column) -> Column:
-    """Number of words of a text, 0 for null: one more than the breaks in the text without white space at its ends."""
-    inner = F.regexp_replace(F.coalesce(text, F.lit("")), "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$", "")
+    """Number of words of a text, 0 for null: one more than the breaks in the text without white space at its ends.
+
+    Trimming goes by a set of characters: a pattern tied to the end would look at every run of white space from each of
+    its characters."""
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
     return F.when(inner == "", F.lit(0)).otherwise(F.size(F.split(inner, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
@@ -110,7 +114,7 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     Only ids and sizes go through the queue; texts meet the decisions once, by id. Rows that repeat an id are taken as
     often as the most served of them.
     """
-    names = docs.columns
-    taken = fair_mix(docs, id, text, source).where("copies > 0").groupBy(F.col(id).alias("_taken_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(taken, F.col(id).eqNullSafe(F.col("_taken_id")))
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"))  # no name of docs meets one used here
+    taken = fair_mix(docs.select(id, text, source), id, text, source).where("copies > 0").groupBy(F.col(id).alias("taken_id")).agg(F.max("copies").alias("copies"))
+    out = rows.join(taken, F.col("id").eqNullSafe(F.col("taken_id")))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
