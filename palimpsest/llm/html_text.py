@@ -4,9 +4,10 @@ Every element and text of a page is a node with a hidden state, content or not.
 likelihood per node are counted from labelled pages (`labelled_pages`); sum-product messages, upward and then
 downward, give each text's exact marginal, and texts above one half are the main text.
 
-Defined cases: a null or empty page gives the empty string; unclosed and stray tags are tolerated (a
-head ends at the first tag or text that cannot stand in it; only a script without its end tag takes the rest of the page); scripts, styles,
-comments and form controls are never text; pages are read one by one, so repeats are equal.
+Defined cases: a null or empty page gives the empty string; unclosed and stray tags are tolerated (a head ends at the
+first tag or text that cannot stand in it; only a script or comment without its end, and a tag in which the page ends,
+take the rest of the page); scripts, styles, comments and form controls are never text; pages are read one by one, so
+repeats are equal; reading a page takes time in proportion to its length, whatever is in it.
 """
 
 from __future__ import annotations
@@ -37,9 +38,15 @@ OPTIONS = frozenset("option optgroup".split())
 PARTS = frozenset("html main article section nav aside header footer form dialog menu address".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may follow a tag's name. Quotes count only where a value begins; no part is ever read twice.
+ATTRIBUTES = r"(?:[^=>]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)*+"
+#: A comment, other markup, or a tag: its slash, name, attributes and end, which is missing where the page ends in it.
+TOKEN = re.compile(
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|</[^a-zA-Z][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})(>|\Z)",
+    re.S,
+)
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-SCRIPT_END = re.compile(r"</script\s*>", re.I)
+SCRIPT_END = re.compile(r"</script(?![^\s/>])[^>]*>", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -47,15 +54,23 @@ def raw_ends(page: str, tag: str) -> dict[int, int]:
     """Where elements of RAW end, by where their start tags end; an end tag closes the nearest open start tag."""
     ends: dict[int, int] = {}
     opened: list[int] = []
-    for m in re.compile(f"<(/?){tag}(?![^\\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I).finditer(page):
+    for m in re.compile(f"<(/?){tag}(?![^\\s/>])({ATTRIBUTES})>", re.I).finditer(page):
         if not m[1]:
-            if not m[0].endswith("/>"):
+            if not closes_itself(m[2]):
                 opened.append(m.end())
         elif opened:
             ends[opened.pop()] = m.end()
     return ends
 
 
+def closes_itself(attributes: str) -> bool:
+    """A slash before the end of a tag, unless it ends a value without quotes."""
+    if not attributes.endswith("/"):
+        return False
+    _, equals, value = attributes.rsplit(None, 1)[-1].partition("=")
+    return not equals or value[:1] in ("", '"', "'")
+
+
 def unclosed_end(page: str, tag: str, at: int) -> int:
     """Where an element of RAW without an end tag ends: after its label, if it has one."""
     if tag not in LABELS:
@@ -72,10 +87,12 @@ def unclosed_end(page: str, tag: str, at: int) -> int:
 
 
 class Node:
-    __slots__ = ("children", "features", "label", "linked", "parent", "prior", "size", "state", "tag", "text", "up")
+    __slots__ = ("block", "children", "features", "label", "linked", "parent", "prior", "size", "state", "tag", "text", "up")
 
     def __init__(self, tag: str, parent: Node | None, names: tuple[str, ...] = (), text: str = ""):
         self.tag, self.parent, self.text, self.features = tag, parent, text, names
+        #: The nearest element, itself included, that is not inline.
+        self.block: Node = parent.block if parent is not None and (tag in INLINE or tag == "#") else self
         self.children: list[Node] = []
         self.size = self.linked = 0
         self.label = False
@@ -84,12 +101,25 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """All nodes in page order, parents before children; text nodes have the tag '#'."""
+    """All nodes in page order, parents before children; text nodes have the tag '#'.
+
+    Time is linear in the page: tokens are read once, and an element is walked past only when it is closed.
+    """
     root = Node("html", None)
     nodes, here, at, end = [root], root, 0, len(page)
     in_head = False
     closed: dict[str, dict[int, int]] = {}
+    opened: Counter[str] = Counter()  # open elements by tag, without the root
     find = TOKEN.search
+
+    def close(node: Node, last: Node) -> Node:
+        """Close every open element from `node` up to `last`."""
+        while True:
+            opened[node.tag] -= 1
+            if node is last:
+                return node.parent
+            node = node.parent
+
     while at < end:
         m = find(page, at)
         text = page[at : m.start() if m else end]
@@ -101,25 +131,29 @@ def parse(page: str) -> list[Node]:
         at, tag = m.end(), m[2]
         if tag is None:
             continue
+        if not m[4]:
+            break  # the page ends inside this tag
         tag = tag.lower()
         if m[1]:
             in_head = in_head and tag not in ("head", "body", "html")
-            up = here
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                here = up.parent
+            if opened[tag] > 0:
+                last = here
+                while last.tag != tag:
+                    last = last.parent
+                here = close(here, last)
             continue
         if tag in ("html", "head", "body"):
             in_head = tag == "head"
             continue
         in_head = in_head and tag in HEAD
+        own = m[3]
+        alone = closes_itself(own)
         if tag in RAW:
             if tag == "script":
-                if not m[3].endswith("/"):
+                if not alone:
                     stop = SCRIPT_END.search(page, at)
                     at = stop.end() if stop else end
-            elif not m[3].endswith("/"):
+            elif not alone:
                 if tag not in closed:
                     closed[tag] = raw_ends(page, tag)
                 at = closed[tag].get(at) or unclosed_end(page, tag, at)
@@ -128,19 +162,18 @@ def parse(page: str) -> list[Node]:
             continue
         shut = {"p"} if tag in CLOSES_P else SAME.get(tag)
         if shut:
-            up = here
-            while up is not None and up.tag in INLINE:
-                up = up.parent
-            if up is not None and up.tag in shut or (up := here).tag in shut:
-                here = up.parent
+            if here.block.tag in shut:
+                here = close(here, here.block)
+            elif here.tag in shut:
+                here = close(here, here)
             if tag in SAME and here.tag in SAME[tag]:
-                here = here.parent
-        own = m[3]
+                here = close(here, here)
         names = tuple(dict.fromkeys(w for g in NAMES.findall(own) for w in SPLIT.split("".join(g).lower()) if w)) if own else ()
         node = Node(tag, here, names)
         nodes.append(node)
-        if tag not in VOID and not own.endswith("/"):
+        if tag not in VOID and not alone:
             here = node
+            opened[tag] += 1
     for node in reversed(nodes):
         if node.tag == "#":
             node.size = len(node.text.strip())
@@ -245,9 +278,7 @@ def main_text(page: str | None, model: Model | None = None) -> str:
         if node.tag == "br":
             last = None
         elif node.tag == "#" and p > 0.5:
-            block = node.parent
-            while block.tag in INLINE and block.parent is not None:
-                block = block.parent
+            block = node.block
             if block is not last:
                 out.append(" ")
             out.append(node.text)
