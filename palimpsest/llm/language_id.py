@@ -2,10 +2,11 @@
 
 A suffix automaton of labelled text per language gives, from any place of a new text, the longest match with that
 text. Parsing a text greedily into such matches needs few phrases in its own language and many in others; phrases are
-normalised by the log of the training length, and the language with the fewest wins.
+normalised by the log of the training length, and the language with the fewest wins. Every letter of the training text
+counts; one that a language has not seen is a phrase of its own there, and runs of other characters are one break.
 
 The training sample is bounded: `rows` documents a language (those with the smallest hash), `chars` characters from
-each. Prediction reads every text whole, in parts of LANE characters that are parsed side by side.
+each. Prediction reads every text whole, in parts of LANE symbols that are parsed side by side and start a phrase each.
 
 Defined cases: null text or one without a letter is `und` with score 0; ties go to the smaller language name; without
 a labelled row every text is `und`; rows are predicted one by one, so repeats are equal.
@@ -15,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from math import log2
 
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from palimpsest.llm.worker import slices
 
 LANE = 1024
-ALPHABET = 60
+#: Letters of a language up to which its automaton is a dense table; with more, transitions are searched in order.
+DENSE = 128
 #: Symbols handled at a time by a worker.
 BLOCK = 1 << 21
 _MODELS: dict = {}
@@ -52,35 +53,48 @@ def training_text(docs: DataFrame, id: str = "doc_id", text: str = "text", lang:
     return {k: "\n".join(v) for k, v in out.items()}
 
 
-class CrossParser:
-    """Dense transition tables of one suffix automaton per language, over an alphabet taken from the training text."""
+class Automaton:
+    """The suffix automaton of one language's symbols, as transitions that many texts follow side by side.
 
-    def __init__(self, texts: dict[str, str]):
-        self.langs = sorted(texts)
-        common = Counter(c for t in texts.values() for c in t.lower() if c.isalpha()).most_common(ALPHABET)
-        # 0: anything but a letter, 1: a letter outside the alphabet
-        self.code = np.zeros(0x110000, np.uint8)
-        for cp in range(0x110000):
-            if unicodedata.category(chr(cp))[0] == "L":
-                self.code[cp] = 1
-        for i, (c, _) in enumerate(sorted(common)):
-            self.code[ord(c)] = i + 2
-        self.width = ALPHABET + 2
-        self.tables = []
-        self.scale = []
-        for lang in self.langs:
-            s = self.symbols(texts[lang])
-            self.tables.append(self._automaton(s.tolist()))
-            self.scale.append(log2(max(len(s), 2)))
+    Symbols are numbers common to all languages. `own` gives a language's number for each: 0 is a break, then come its
+    letters, and the last stands for every letter it has not seen, which never matches.
+    """
 
-    def symbols(self, text: str) -> np.ndarray:
-        """Codes of the lower-cased text, runs of other characters than letters as one break."""
-        s = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-        if not len(s):
-            return s
-        return s[(s > 0) | np.concatenate(([True], s[:-1] > 0))]
-
-    def _automaton(self, s: list[int]) -> np.ndarray:
+    def __init__(self, s: np.ndarray, symbols: int):
+        seen = np.unique(s[s > 0])
+        self.width = len(seen) + 2
+        self.own = np.full(symbols, self.width - 1, np.uint32)
+        self.own[0] = 0
+        self.own[seen] = np.arange(1, len(seen) + 1)
+        rows = self._transitions(self.own[s].tolist())
+        self.dead = len(rows)  # a state without any way on: before a text, and after a letter never seen
+        rows.append({})
+        # short numbers keep the tables in a core's cache; the largest number says that there is no way on
+        self.kind = np.uint16 if len(rows) < 0xFFFF else np.uint32
+        self.none = np.iinfo(self.kind).max
+        if self.width <= DENSE:
+            table = np.full((len(rows), self.width), self.none, self.kind)
+            for i, row in enumerate(rows):
+                if row:
+                    table[i, list(row)] = list(row.values())
+            self.table, self.keys = table.ravel(), None
+        else:
+            found = sorted((i * self.width + c, to) for i, row in enumerate(rows) for c, to in row.items())
+            self.keys = np.array([k for k, _ in found], np.int64)
+            self.table = np.array([to for _, to in found], self.kind)
+        first = self.step(np.zeros(self.width, np.int32), np.arange(self.width))
+        self.root = np.where(first == self.none, self.dead, first).astype(self.kind)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states that follow, `none` where there is no way on."""
+        if self.keys is None:
+            return self.table[state * np.int32(self.width) + c]
+        key = state.astype(np.int64) * self.width + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.table[at], self.none)
+
+    @staticmethod
+    def _transitions(s: list[int]) -> list[dict[int, int]]:
         nxt: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in s:
@@ -106,33 +120,50 @@ class CrossParser:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        # short numbers keep the tables in a core's cache; the largest number says that there is no way on
-        kind = np.uint16 if len(nxt) < 0xFFFF else np.uint32
-        table = np.full((len(nxt), self.width), np.iinfo(kind).max, kind)
-        for i, row in enumerate(nxt):
-            if row:
-                table[i, list(row)] = list(row.values())
-        return table.ravel()
+        return nxt
+
+
+class CrossParser:
+    """One automaton per language, over all letters of the training text."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.langs = sorted(texts)
+        letters = sorted({c for t in texts.values() for c in t.lower() if unicodedata.category(c)[0] == "L"})
+        # 0: anything but a letter, 1: a letter that no training text has
+        self.code = np.zeros(0x110000, np.uint16 if len(letters) < 0xFFFE else np.uint32)
+        for cp in range(0x110000):
+            if unicodedata.category(chr(cp))[0] == "L":
+                self.code[cp] = 1
+        for i, c in enumerate(letters):
+            self.code[ord(c)] = i + 2
+        parts = [self.symbols(texts[lang]) for lang in self.langs]
+        self.automata = [Automaton(s, len(letters) + 2) for s in parts]
+        self.scale = [log2(max(len(s), 2)) for s in parts]
+
+    def symbols(self, text: str) -> np.ndarray:
+        """Codes of the lower-cased text, runs of other characters than letters as one break."""
+        s = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+        if not len(s):
+            return s
+        return s[(s > 0) | np.concatenate(([True], s[:-1] > 0))]
 
     def phrases(self, parts: list[np.ndarray]) -> np.ndarray:
         """Number of phrases of every part in every language: (languages, parts)."""
         order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
         sizes = np.array([len(parts[i]) for i in order])
-        grid = np.zeros((LANE, len(parts)), np.uint8)
+        grid = np.zeros((LANE, len(parts)), self.code.dtype)
         for k, i in enumerate(order):
             grid[: len(parts[i]), k] = parts[i]
+        alive = [int(np.searchsorted(-sizes, -step, "left")) for step in range(int(sizes[0]) if len(sizes) else 0)]  # parts longer than step
         out = np.zeros((len(self.langs), len(parts)), np.int64)
-        for x, table in enumerate(self.tables):
-            none = np.iinfo(table.dtype).max
-            root = np.where(table[: self.width] == none, 0, table[: self.width])
-            state = np.zeros(len(parts), np.int32)
-            count = (sizes > 0).astype(np.int32)
-            for step in range(int(sizes[0]) if len(sizes) else 0):
-                n = int(np.searchsorted(-sizes, -step, "left"))  # parts longer than step
-                c = grid[step, :n]
-                s = table[state[:n] * np.int32(self.width) + c]
-                stop = s == none
-                s[stop] = root[c[stop]]
+        for x, a in enumerate(self.automata):
+            state = np.full(len(parts), a.dead, np.int32)
+            count = np.zeros(len(parts), np.int32)
+            for step, n in enumerate(alive):
+                c = a.own[grid[step, :n]]
+                s = a.step(state[:n], c)
+                stop = s == a.none
+                s[stop] = a.root[c[stop]]
                 count[:n] += stop
                 state[:n] = s
             out[x, order] = count
@@ -157,9 +188,9 @@ class CrossParser:
             for k in range(0, len(parts), BLOCK // LANE):  # a very long text fills several grids
                 own = np.array(owner[k : k + BLOCK // LANE]) - first
                 for x, row in enumerate(self.phrases(parts[k : k + BLOCK // LANE])):
-                    totals[x] += np.bincount(own, row * self.scale[x], at - first)
+                    totals[x] += np.bincount(own, row, at - first)
             for i in sorted(set(owner)):
-                col = totals[:, i - first]
+                col = totals[:, i - first] * self.scale
                 best = int(col.argmin())
                 rest = np.delete(col, best)
                 out[i] = (self.langs[best], float(1 - col[best] / rest.min()) if len(rest) else 1.0)
