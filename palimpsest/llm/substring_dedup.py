@@ -1,30 +1,36 @@
 """Substring dedup by relative Lempel-Ziv parsing against an indexed, sharded reference.
 
 The reference is the whole corpus. Its index holds phrases of `size` words by 96 bits of their hash and is dealt over
-shards (the reference blocks) by that hash. A document is parsed greedily: a factor starts at the first phrase found
-elsewhere in any block and grows while the next word still ends a phrase found elsewhere; where it stops, the
-phrases that cross the boundary were looked up themselves, so a copy spliced from two sources is not cut short. Every
-factor has `size` words or more and becomes a duplicate span.
-
-To keep the index to what can match, each phrase is filed under its anchor: the smallest of its seed (8-word) hashes.
+shards (the reference blocks) by that hash; it answers a phrase with its first place in the shard's order, or with
+another place where the phrase asked for is that first one itself. A document is parsed greedily: a factor starts at a
+phrase found elsewhere, points to its place there, and grows while the words that follow in the document are those that
+follow at that place. At a factor's end the phrases across the boundary are looked up themselves, so a copy spliced from
+two sources gives two factors that overlap and is not cut short. Every factor has `size` words or more; what factors
+cover becomes the duplicate spans.
+
+To keep the index to what can match, each phrase is filed under its anchor: the smallest of its seed (16-word) hashes.
 Equal phrases have equal anchors, so phrases whose anchor occurs once in the corpus are alone and never indexed.
 
 Defined cases: null or short texts have no phrases; copies inside one document count; windows are judged on the input;
-rows that repeat id and text are other places of the same words, so long ones are removed in all of them.
+rows that repeat id and text are other places of the same words, so long ones are removed in all of them. Factors tell
+which of several places they point to by the order of ids, hashes and words, for very common phrases by the order of
+rows; spans do not depend on that.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 8
+SEED = 16
 #: Words parsed at a time; a longer document is read in parts that overlap by a phrase less one word.
 PART = 1 << 19
 #: A key that a task meets so often in one batch is known to repeat: its rows need not be gathered.
@@ -87,72 +93,119 @@ def phrases_of(words: list[bytes], size: int, wanted: np.ndarray) -> tuple[np.nd
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def factors(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """(first word, words) of each factor: runs of phrases found elsewhere that touch or overlap become one span."""
-    if not len(starts):
-        return []
-    s = np.sort(np.asarray(starts))
-    cut = np.flatnonzero(np.diff(s) > size) + 1
-    return [(int(g[0]), int(g[-1] - g[0] + size)) for g in np.split(s, cut)]
-
+def factors(starts: np.ndarray, docs: np.ndarray, places: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greedy parse of a document whose phrases at `starts` lie elsewhere, in `docs` at `places`.
 
-def marked(h: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows to take from a batch, and their h: ~h (negative) for rows whose key occurs OFTEN in the batch.
+    Gives for each factor the index of its first phrase, which has its source, and its number of words.
+    """
+    order = np.lexsort((places, docs, starts))
+    order = order[np.concatenate(([True], np.diff(starts[order]) > 0))[: len(order)]]  # a phrase may be told twice
+    s, d, p = starts[order], docs[order], places[order]
+    goes_on = (np.diff(s) == 1) & (np.diff(d) == 0) & (np.diff(p) == 1)
+    first = np.flatnonzero(np.concatenate(([True], ~goes_on))[: len(s)])
+    last = np.append(first[1:], len(s))[: len(first)] - 1
+    return order[first], s[last] - s[first] + size
+
+
+def covered(starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(first word, words) of the spans that factors in order of their starts cover; what touches is one span."""
+    out: list[tuple[int, int]] = []
+    for a, n in zip(starts.tolist(), lengths.tolist(), strict=True):
+        if out and a <= out[-1][0] + out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], a + n - out[-1][0]))
+        else:
+            out.append((a, n))
+    return out
+
+
+def marked(h: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows to take from a batch, their h, and another row of the same key: h is ~h (negative) for rows whose key occurs
+    OFTEN in the batch; of the others no second row is known (-1).
 
     One more row of each such key comes last with its h unchanged; it tells the key to the task that compares it.
     """
     n = len(h)
     if n < OFTEN:
-        return np.arange(n), h
+        return np.arange(n), h, np.full(n, -1)
     order = np.lexsort(keys)
     new = np.concatenate(([True], np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)))
     first = np.flatnonzero(new)
     often = np.diff(np.append(first, n)) >= OFTEN
+    group = np.cumsum(new) - 1
     known = np.zeros(n, bool)
-    known[order] = often[np.cumsum(new) - 1]
+    known[order] = often[group]
+    other = np.full(n, -1)
+    other[order] = order[first[group]]
+    other[order[first[often]]] = order[first[often] + 1]
+    other[~known] = -1
     told = order[first[often]]
-    return np.concatenate((np.arange(n), told)), np.concatenate((np.where(known, ~h, h), h[told]))
+    return np.concatenate((np.arange(n), told)), np.concatenate((np.where(known, ~h, h), h[told])), np.concatenate((other, np.full(len(told), -1)))
 
 
-def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+def repeated(rows: DataFrame, keys: list[str], place: dict[str, str] | None = None) -> DataFrame:
     """The rows whose keys occur twice or more, without gathering any group; h comes from `marked`.
 
     One shuffle: rows of unknown keys by the keys, rows known to repeat by their whole content, so that a key which a
     third of all rows hold is spread over all tasks. Each task then reads its rows in key order and compares
-    neighbours, one batch at a time, so a key of any number of rows needs no memory and no join.
+    neighbours, one batch at a time, so a key of any number of rows needs no memory and no join. Rows known to repeat are
+    no one's neighbours: the row that tells their key may be one of them again.
+
+    place: columns that tell where a row is, each with the column that gets the same of another row with its key: the
+    first in order, for that one the second. Rows known to repeat have theirs already.
     """
+    place = place or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, whose right neighbour is in the next batch
-        twin = False  # it equals its left neighbour
-
-        def chosen(b: pa.RecordBatch, keep: np.ndarray) -> pa.RecordBatch:
-            at = b.schema.get_field_index("h")
-            h = b.column(at).to_numpy(zero_copy_only=False)
-            b = b.set_column(at, b.schema.field(at), pa.array(np.where(h < 0, ~h, h)))
-            return b.filter(pa.array(keep | (h < 0)))
-
-        for b in batches:
-            if not b.num_rows:
+        origin: pa.RecordBatch | None = None  # the first row with its key, where that is not itself
+        for b in chain(batches, [None]):
+            last = b is None
+            if last and held is None or not last and not b.num_rows:
                 continue
-            b = pa.Table.from_batches([held, b] if held is not None else [b]).combine_chunks().to_batches()[0]
+            parts = [x for x in (held, b) if x is not None]
+            b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             equal = np.ones(b.num_rows - 1, bool)
             for k in keys:
                 col = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
                 equal &= col[1:] == col[:-1]
-            keep = np.concatenate(([twin], equal)) | np.concatenate((equal, [False]))
-            twin, held = bool(equal[-1]) if len(equal) else twin, b.slice(b.num_rows - 1)
-            yield chosen(b.slice(0, b.num_rows - 1), keep[:-1])
-        if held is not None:
-            yield chosen(held, np.array([twin]))
+            at = b.schema.get_field_index("h")
+            h = b.column(at).to_numpy(zero_copy_only=False)
+            known = h < 0
+            equal &= ~(known[1:] | known[:-1])
+            twin = origin is not None
+            n = b.num_rows - (not last)  # rows to give out
+            right = np.concatenate((equal, [False]))
+            keep = (np.concatenate(([twin], equal)) | right)[:n]
+            heads = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(b.num_rows), 0))
+            out = b.set_column(at, b.schema.field(at), pa.array(np.where(known, ~h, h)))
+            # another row: 0 is the origin, then come those of this batch
+            of = np.where(heads == np.arange(b.num_rows), np.minimum(heads + 1, b.num_rows - 1), heads) + 1
+            of[(heads == 0) & twin] = 0
+            for own, other in place.items():
+                pool = pa.chunked_array([(origin if twin else b.slice(0, 1)).column(own), b.column(own)])
+                told = pc.if_else(pa.array(known), b.column(other), pool.take(pa.array(of)).combine_chunks())
+                i = b.schema.get_field_index(other)
+                out = out.set_column(i, b.schema.field(i), told)
+            yield out.slice(0, n).filter(pa.array(keep | known[:n]))
+            if not last:
+                held = b.slice(n)
+                if heads[n] == n:
+                    origin = None
+                elif heads[n] or not twin:
+                    origin = b.slice(int(heads[n]), 1)
 
     known = F.col("h") < 0
     dealt = [F.when(known, F.xxhash64(*rows.columns)), *[F.when(~known, F.col(k)) for k in keys]]
-    return rows.repartition(*dealt).sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+    return rows.repartition(*dealt).sortWithinPartitions(*keys, known, *place).mapInArrow(run, rows.schema)
 
 
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
-    """(id, n_words, n_removed, spans, kept_text) for every row of docs."""
+    """(id, n_words, n_removed, spans, factors, kept_text) for every row of docs.
+
+    spans: (start, length) in words, apart from each other; factors: (start, length, source_id, source_start), which may
+    overlap. Which rows of common keys a task marks depends on where its batches end, so before texts are read for the
+    index they are put in an order that is the same when the task runs again.
+    """
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))  # its sign is free for `marked`
@@ -162,7 +215,7 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             got = [anchors_of(_words(t.as_py()), size) for t in b.column(1)]
             rows = np.repeat(np.arange(len(got)), [len(g) for g in got])
             flat = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
-            take, h = marked(b.column(2).to_numpy()[rows], flat)
+            take, h, _ = marked(b.column(2).to_numpy()[rows], flat)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(flat[take])], names=["id", "h", "anchor"])
 
     def emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,36 +226,55 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 rows = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 hashes = np.concatenate([g[1] for g in got])
                 starts, p1, p2 = np.concatenate([g[0] for g in got]).astype(np.int32), hashes[:, 0], hashes[:, 1].astype(np.int32)
-                take, h = marked(c.column(2).to_numpy()[rows], p1, p2)
+                take, h, other = marked(c.column(2).to_numpy()[rows], p1, p2)
+                source = pa.array(np.where(other < 0, 0, other), mask=other < 0)
                 cols = [c.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(starts[take]), pa.array(p1[take]), pa.array(p2[take])]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "start", "p1", "p2"])
+                cols += [c.column(0).take(pa.array(rows)).take(source), pa.array(starts).take(source)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "start", "p1", "p2", "source_id", "source_start"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ns, removed, spans, kept = [], [], [], []
-            for t, s in zip(b.column(1), b.column(3), strict=True):
+            hits = b.column(3)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
+            flat = hits.flatten()
+            start, place = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "source_start"))
+            named = flat.field("source_id")
+            doc = pc.fill_null(named.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            chosen, sizes, counts = [], [], []
+            for t, lo, hi in zip(b.column(1), [0, *ends[:-1]], ends, strict=True):
                 words = _words(t.as_py())
-                found = factors(np.array(s.as_py() or [], np.int64), size)
+                first, n = factors(start[lo:hi], doc[lo:hi], place[lo:hi], size)
+                chosen.append(first + lo)
+                sizes.append(n)
+                counts.append(len(n))
+                found = covered(start[lo:hi][first], n)
                 keep, at = [], 0
-                for first, n in found:
-                    keep += words[at:first]
-                    at = first + n
+                for a, w in found:
+                    keep += words[at:a]
+                    at = a + w
                 keep += words[at:]
                 ns.append(len(words))
                 removed.append(len(words) - len(keep))
-                spans.append([{"start": a, "length": n} for a, n in found])
+                spans.append([{"start": a, "length": w} for a, w in found])
                 kept.append(b" ".join(keep).decode())
-            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "kept_text"])
+            pick = np.concatenate([*chosen, np.empty(0, np.int64)]).astype(np.int64)
+            length = np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
+            told = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(length), named.take(pa.array(pick)), pa.array(place[pick])], names=["start", "length", "source_id", "source_start"])
+            parsed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), told)
+            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), parsed, pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "factors", "kept_text"])
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
     # the index: anchors that occur twice, by document
     anchors = rows.mapInArrow(emit_anchors, f"id {kind}, h long, anchor long")
     wanted = repeated(anchors, ["anchor"]).groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
-    routed = rows.join(wanted, same(rows, wanted)).select(rows["id"], rows["text"], rows["h"], "anchors")
+    routed = rows.join(wanted, same(rows, wanted)).select(rows["id"], rows["text"], rows["h"], "anchors").sortWithinPartitions("h", "id")
     # the reference blocks: phrases by hash; found elsewhere means two places or more
-    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, start int, p1 long, p2 int")
-    hits = repeated(phrases, ["p1", "p2"]).groupBy("id", "h").agg(F.collect_set("start").alias("starts"))
-    parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "starts")
-    out = parsed.mapInArrow(parse, f"id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,length:bigint>>, kept_text string")
+    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, start int, p1 long, p2 int, source_id {kind}, source_start int")
+    found = repeated(phrases, ["p1", "p2"], {"id": "source_id", "start": "source_start"})
+    hits = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "source_id", "source_start")).alias("hits"))
+    parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "hits")
+    shape = f"array<struct<start:bigint,length:bigint>>, factors array<struct<start:bigint,length:bigint,source_id:{kind},source_start:bigint>>"
+    out = parsed.mapInArrow(parse, f"id {kind}, n_words long, n_removed long, spans {shape}, kept_text string")
     return out.withColumnRenamed("id", id)

@@ -141,7 +141,8 @@ def test_substring_dedup_of_a_passage_in_most_documents(spark):
 
 def test_rows_known_to_repeat_are_marked():
     keys = np.array([5] * 9 + [6] * 7 + [7] * 8 + [8])
-    take, h = substring_dedup.marked(np.arange(25), keys, np.zeros(25, int))
+    take, h, other = substring_dedup.marked(np.arange(25), keys, np.zeros(25, int))
+    assert all(o == -1 if k not in (5, 7) else o != i and keys[o] == k for i, (o, k) in enumerate(zip(other[:25], keys, strict=True)))
     assert take[:25].tolist() == list(range(25)) and sorted(keys[take[25:]].tolist()) == [5, 7]
     assert [x < 0 for x in h[:25]] == [k in (5, 7) for k in keys] and (h[25:] >= 0).all()
     assert len(substring_dedup.marked(np.arange(0), np.arange(0))[0]) == 0
