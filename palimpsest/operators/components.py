@@ -64,8 +64,10 @@ def connected_components(edges: DataFrame, local: int | None = None, rounds: int
     endless work only: a billion nodes need about 45 rounds even if each removes just over a third of the vertices.
     """
     local = LOCAL if local is None else local
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    both = stored(both)
+    # both directions come from one evaluation: edges that depend on the order of rows may differ the next time
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    arcs = F.explode(F.array(ends("src", "dst"), ends("dst", "src")))
+    both = stored(edges.where("src <> dst").select(arcs.alias("e")).select("e.src", "e.dst").distinct())
     steps: list[DataFrame] = []
     # for each round's vertices (vertex, low): the smallest node that was contracted into a vertex
     lows: list[DataFrame] = []
@@ -81,8 +83,7 @@ def connected_components(edges: DataFrame, local: int | None = None, rounds: int
         half = both.where("src < dst")
         one = half.join(step.select(F.col("node").alias("src"), F.col("rep").alias("a")), "src")
         two = one.join(step.select(F.col("node").alias("dst"), F.col("rep").alias("b")), "dst").where("a <> b")
-        arcs = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
-        both = stored(two.select(arcs.alias("e")).select("e.src", "e.dst").distinct())
+        both = stored(two.select(F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e")).select("e.src", "e.dst").distinct())
     last = stored(_joined_locally(both))
     if not steps:
         return last

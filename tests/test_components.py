@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators.components import connected_components
 
@@ -58,3 +59,10 @@ def test_strings(spark):
     for local in (None, 0):
         got = {r.node: r.component for r in connected_components(df, local=local).collect()}
         assert got == {"a": "a", "b": "a", "é": "a", "x": "x", "￿": "x", "\U0001f600": "x"}
+
+
+def test_edges_that_differ_between_evaluations(spark):
+    """A random spanning tree of the same nodes each time it is computed."""
+    rows = spark.range(1, 400).select((F.rand() * F.col("id")).cast("long").alias("src"), F.col("id").alias("dst"))
+    got = {r.node: r.component for r in connected_components(rows).collect()}
+    assert got == dict.fromkeys(range(400), 0)
