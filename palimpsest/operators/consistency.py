@@ -25,9 +25,13 @@ def empty_clusters(clusters: DataFrame, observations: DataFrame) -> DataFrame:
     return bare.select(*_conflict(F.lit(""), F.array("cluster_uid"), _none(), "identity_mismatch", F.lit(0.0), F.lit(0.0)))
 
 
+def uncovered(files: DataFrame, observations: DataFrame) -> DataFrame:
+    """Files that no identity holds, as they are."""
+    return files.join(observations.select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti")
+
+
 def uncovered_files(files: DataFrame, observations: DataFrame) -> DataFrame:
-    missing = files.join(observations.select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti")
-    return missing.select(*_conflict(F.col("raw_hash"), F.array("path"), _none(), "identity_mismatch", F.lit(0.0), F.lit(0.0)))
+    return uncovered(files, observations).select(*_conflict(F.col("raw_hash"), F.array("path"), _none(), "identity_mismatch", F.lit(0.0), F.lit(0.0)))
 
 
 def invalid_operations(operations: DataFrame) -> DataFrame:

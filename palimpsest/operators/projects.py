@@ -26,6 +26,16 @@ def jaccard_pairs(files: DataFrame, total: int | None = None, discount: bool = T
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b", "shared", "n_a", "n_b", "jaccard")
 
 
+def with_empty_pairs(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """`jaccard_pairs` and the pairs of snapshots that have no usable hash at all: two empty sets are alike (1.0)."""
+    counts = files.groupBy("snapshot_id").agg(F.count(usable_hash()).alias("n"))
+    bare = counts.where("n = 0").select("snapshot_id")
+    a, b = bare.select(F.col("snapshot_id").alias("a")), bare.select(F.col("snapshot_id").alias("b"))
+    none = F.lit(0).cast("long")
+    both = a.join(b, F.col("a") < F.col("b")).select("a", "b", none.alias("shared"), none.alias("n_a"), none.alias("n_b"), F.lit(1.0).alias("jaccard"))
+    return pairs.unionByName(both)
+
+
 def weighted_jaccard(fingerprints: DataFrame) -> DataFrame:
     """(a, b, jaccard) of fingerprints(id, hash, weight): sum of minima over sum of maxima, absent weights 0."""
     a, b = fingerprints.alias("a"), fingerprints.alias("b")

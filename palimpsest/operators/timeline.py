@@ -45,17 +45,37 @@ def temporal_groups(events: DataFrame, time: str, keys: list[str], gap: float =
     return rows.withColumn("group_no", F.sum("_step").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_step")
 
 
-def branching(snapshots: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes of a version graph: sorted parents and children, is_root, is_leaf, is_fork, is_merge.
+def branching(snapshots: DataFrame, edges: DataFrame, arrays: bool = True) -> DataFrame:
+    """Nodes of a version graph: n_parents, n_children, is_root, is_leaf, is_fork, is_merge; with arrays also their ids.
 
-    edges(parent_id, child_id); ids that occur only on edges become nodes too.
+    edges(parent_id, child_id); ids that occur only on edges become nodes too. The arrays are for graphs that are shown:
+    a hub's neighbours meet in one row there, while the counts are summed before they are shuffled.
     """
     ids = snapshots.select("snapshot_id").union(edges.select("parent_id")).union(edges.select("child_id")).distinct()
     edges = edges.select("parent_id", "child_id").distinct()
-    parents = edges.groupBy(F.col("child_id").alias("snapshot_id")).agg(F.array_sort(F.collect_list("parent_id")).alias("parent_ids"))
-    children = edges.groupBy(F.col("parent_id").alias("snapshot_id")).agg(F.array_sort(F.collect_list("child_id")).alias("children_ids"))
-    out = ids.join(parents, "snapshot_id", "left").join(children, "snapshot_id", "left")
-    empty = F.array().cast("array<string>")
-    out = out.withColumn("parent_ids", F.coalesce("parent_ids", empty)).withColumn("children_ids", F.coalesce("children_ids", empty))
-    n, m = F.size("parent_ids"), F.size("children_ids")
+    out = ids
+    for own, other, n, names in (("child_id", "parent_id", "n_parents", "parent_ids"), ("parent_id", "child_id", "n_children", "children_ids")):
+        sums = [F.count(F.lit(1)).alias(n), *([F.array_sort(F.collect_list(other)).alias(names)] if arrays else [])]
+        out = out.join(edges.groupBy(F.col(own).alias("snapshot_id")).agg(*sums), "snapshot_id", "left")
+        out = out.withColumn(n, F.coalesce(n, F.lit(0).cast("long")))
+        if arrays:
+            out = out.withColumn(names, F.coalesce(names, F.array().cast("array<string>")))
+    n, m = F.col("n_parents"), F.col("n_children")
     return out.withColumns({"is_root": n == 0, "is_leaf": m == 0, "is_fork": m > 1, "is_merge": n > 1})
+
+
+def node_operations(operations: DataFrame) -> DataFrame:
+    """operations(parent_id, child_id, ...) by node, one row each: those of all its parents stand on one snapshot."""
+    return operations.withColumnRenamed("child_id", "snapshot_id").where("snapshot_id is not null")
+
+
+def ordered_ends(nodes: DataFrame, ordering: DataFrame) -> DataFrame:
+    """(kind, snapshot_id, place) of the roots and leaves of `branching`, by place in ordering(snapshot_id, position).
+
+    An id that ordering has twice goes by its later position; ids it does not have come last, by name.
+    """
+    at = ordering.groupBy("snapshot_id").agg(F.max("position").alias("position"))
+    kinds = F.array_compact(F.array(F.when(F.col("is_root"), F.lit("root")), F.when(F.col("is_leaf"), F.lit("leaf"))))
+    ends = nodes.where("is_root or is_leaf").select("snapshot_id", F.explode(kinds).alias("kind")).join(at, "snapshot_id", "left")
+    order = W.partitionBy("kind").orderBy(F.col("position").asc_nulls_last(), "snapshot_id")
+    return ends.select("kind", "snapshot_id", (F.row_number().over(order) - 1).alias("place"))

@@ -237,7 +237,7 @@ def temporal_groups(spark: SparkSession, d: str) -> DataFrame:
 def _dag(spark: SparkSession, d: str) -> DataFrame:
     ids = spark.read.parquet(f"{d}/documents.parquet").where("doc_id > 0")
     edges = ids.select(F.expr("concat('n', doc_id div 2)").alias("parent_id"), F.expr("concat('n', doc_id)").alias("child_id"))
-    return timeline.branching(edges.select(F.col("child_id").alias("snapshot_id")), edges)
+    return timeline.branching(edges.select(F.col("child_id").alias("snapshot_id")), edges, arrays=False)
 
 
 @query
@@ -253,9 +253,8 @@ def dag_fork_merge(spark: SparkSession, d: str) -> DataFrame:
 @query
 def coverage_antijoin(spark: SparkSession, d: str) -> DataFrame:
     files = history_files(spark, d)
-    found = consistency.uncovered_files(files.withColumn("_s", F.col("snapshot_id")), files.where("path like 'p%'"))
-    lost = files.join(files.where("path like 'p%'").select("snapshot_id", "path"), ["snapshot_id", "path"], "left_anti")
-    return lost.join(found.select("hash", F.col("source_paths")[0].alias("p")).distinct(), (F.col("hash") == F.col("raw_hash")) & (F.col("p") == F.col("path")), "left_semi").select("snapshot_id", "path", F.col("raw_hash").alias("hash"))
+    covered = files.where("path like 'p%'").select("snapshot_id", "path")
+    return consistency.uncovered(files, covered).select("snapshot_id", "path", F.col("raw_hash").alias("hash"))
 
 
 @query

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _nodes(timeline: DataFrame) -> list[dict]:
@@ -21,15 +21,29 @@ def to_jsonlines(timeline: DataFrame) -> str:
     return "\n".join(json.dumps({"snapshot_id": n["snapshot_id"], **op}) for n in _nodes(timeline) for op in n["operations"])
 
 
+def write_jsonlines(operations: DataFrame, folder: str) -> None:
+    """The same for any number of operations: executors write a folder of JSON lines, in order of the pairs."""
+    rows = operations.withColumn("snapshot_id", F.col("to_id")).drop("from_id", "to_id")
+    names = [c for c in rows.columns if c not in ("snapshot_id", "pair_idx")]
+    rows.repartitionByRange("pair_idx", "file_id").sortWithinPartitions("pair_idx", "file_id").select("snapshot_id", *names).write.option("ignoreNullFields", "false").json(folder)
+
+
 def to_log(timeline: DataFrame) -> str:
-    out = []
-    for n in _nodes(timeline):
-        when = "unknown" if n["timestamp"] is None else datetime.fromtimestamp(n["timestamp"], UTC).strftime("%a %b %d %H:%M:%S %Y %z")
-        k = len(n["operations"])
-        out += [f"commit {n['snapshot_id']}", f"Date: {when}", "", f"    {k} operation{'' if k == 1 else 's'}"]
-        out += [f"    {op['op_type']} {op['source_path'] or ''}{' -> ' if op['source_path'] and op['target_path'] and op['source_path'] != op['target_path'] else ''}{op['target_path'] if op['target_path'] != op['source_path'] else ''}".replace("None", "") for op in n["operations"]]
-        out.append("")
-    return "\n".join(out)
+    """One entry per snapshot: its id, time, root, a change of root if there is one, and the number of operations."""
+    when = F.coalesce(F.date_format(F.timestamp_seconds(F.floor("timestamp")), "EEE MMM dd HH:mm:ss yyyy xx"), F.lit("unknown"))
+    n = F.size("operations")
+    unit = F.when(n == 1, F.lit(" operation")).otherwise(F.lit(" operations"))
+    entry = F.concat_ws(
+        "\n",
+        F.concat(F.lit("commit "), "snapshot_id"),
+        F.concat(F.lit("Date:   "), when),
+        F.concat(F.lit("root: "), F.coalesce("source_path", F.lit(""))),
+        F.concat(F.lit("Root change: "), "root_change"),  # concat_ws leaves out what is null
+        F.lit(""),
+        F.concat(F.lit("\t"), n.cast("string"), unit),
+        F.lit(""),
+    )
+    return "\n".join(r.entry for r in timeline.orderBy("snapshot_idx").select(entry.alias("entry")).collect())  # a row per snapshot
 
 
 def to_dot(nodes: DataFrame, counts: dict[str, int] | None = None) -> str:

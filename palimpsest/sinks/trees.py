@@ -6,25 +6,21 @@ import json
 import os
 import shutil
 import subprocess
-from collections import defaultdict
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.plans.analysis import compare
 from palimpsest.runtime import stored
 from palimpsest.sources.timelines import read_timeline
 from palimpsest.sources.tree import read_tree
 
-# How a change is shown to people, and where an exported snapshot keeps what is gone or has a new name.
-SHOWN = {
-    "create": "  + {target_path} (created)",
-    "delete": "  - {source_path} (deleted)",
-    "modify": "  ~ {source_path} (modified)",
-    "rename": "  > {source_path} -> {target_path}",
-    "move": "  > {source_path} -> {target_path}",
-    "copy": "  = {source_path} -> {target_path} (copied)",
-}
+# The mark of a change by its kind, what is said after it, the names of a change's fields in CHANGES.txt,
+# and where an exported snapshot keeps what is gone or has a new name.
+MARKS = {"create": "+", "delete": "-", "modify": "~", "rename": ">", "move": ">", "copy": "="}
+SAID = {"create": " (created)", "delete": " (deleted)", "modify": " (modified)", "copy": " (copied)"}
+FIELDS = {"op_type": "op", "source_path": "old_path", "target_path": "new_path", "old_hash": "old_hash", "new_hash": "new_hash"}
 DELETED, RENAMED, CHANGES = ".fh-deleted", ".fh-renamed", "CHANGES.txt"
 KINDS = ("create", "modify", "rename", "move", "delete", "copy")
 
@@ -45,17 +41,32 @@ def _nodes(timeline: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in timeline.orderBy("snapshot_idx").collect()]  # a row per snapshot
 
 
-def _changes(node: dict) -> str:
-    names = {"op_type": "op", "source_path": "old_path", "target_path": "new_path", "old_hash": "old_hash", "new_hash": "new_hash"}
-    machine = [{new: op[old] for old, new in names.items() if op[old] is not None} for op in node["operations"]]
-    human = [f"Snapshot: {node['snapshot_id']}"]
-    if node["timestamp"] is not None:
-        human.append(f"Timestamp: {node['timestamp']}")
-    human += ["", "Changes:", *[SHOWN[op["op_type"]].format(**op) for op in node["operations"] if op["op_type"] in SHOWN], "", f"{len(node['operations'])} operations"]
-    return json.dumps({"machine": machine, "human": "\n".join(human)}, indent=2)
-
-
-def _write_snapshot(top: Path, node: dict, folder: Path, before: Path | None, exclude_deleted: bool) -> None:
+def changes(operations: DataFrame) -> DataFrame:
+    """operations with `shown`, the line by which people are told of each (null for kinds without a mark), and `told`,
+    a map of the fields that are not null."""
+    kind = F.col("op_type")
+    table = lambda names: F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    one = kind.isin("create", "delete", "modify")
+    paths = F.when(one, F.when(kind == "create", F.col("target_path")).otherwise(F.col("source_path")))
+    paths = F.coalesce(paths, F.concat(F.coalesce("source_path", F.lit("None")), F.lit(" -> "), F.coalesce("target_path", F.lit("None"))))
+    shown = F.concat(F.lit("  "), F.try_element_at(table(MARKS), kind), F.lit(" "), paths, F.coalesce(F.try_element_at(table(SAID), kind), F.lit("")))
+    fields = F.map_filter(F.create_map(*[x for old, new in FIELDS.items() for x in (F.lit(new), F.col(old))]), lambda _, v: v.isNotNull())
+    return operations.withColumns({"shown": shown, "told": fields})
+
+
+def _changes(spark: SparkSession, node: dict) -> str:
+    """CHANGES.txt of one snapshot: its operations for programs and for people."""
+    fields = "op_type string, source_path string, target_path string, old_hash string, new_hash string"
+    names = [f.split()[0] for f in fields.split(", ")]
+    ops = spark.createDataFrame([tuple(op[n] for n in names) for op in node["operations"]], fields)
+    rows = changes(ops).select("shown", "told").collect()  # in their order, like the snapshot's operations
+    when = [] if node["timestamp"] is None else [f"Timestamp: {node['timestamp']}"]
+    listed = [r.shown for r in rows if r.shown is not None]
+    human = "\n".join([f"Snapshot: {node['snapshot_id']}", *when, "", "Changes:", *listed, "", f"{len(rows)} operations"])
+    return json.dumps({"machine": [r.told for r in rows], "human": human}, indent=2)
+
+
+def _write_snapshot(spark: SparkSession, top: Path, node: dict, folder: Path, before: Path | None, exclude_deleted: bool) -> None:
     """Snapshots/<id>: the files, those deleted since `before`, links from old names to new ones, and the changes."""
     own = top / "Snapshots" / node["snapshot_id"]
     own.mkdir(parents=True, exist_ok=True)
@@ -69,7 +80,7 @@ def _write_snapshot(top: Path, node: dict, folder: Path, before: Path | None, ex
             stub.parent.mkdir(parents=True, exist_ok=True)
             stub.unlink(missing_ok=True)
             os.symlink(os.path.relpath(own / op["target_path"], stub.parent), stub)
-    (own / CHANGES).write_text(_changes(node))
+    (own / CHANGES).write_text(_changes(spark, node))
 
 
 def _finish(top: Path, nodes: list[dict], latest: Path | None) -> None:
@@ -104,7 +115,7 @@ def export_working_copy(timeline: DataFrame, folders: dict[str, str], out: str,
     for n in nodes:
         here = folders.get(n["snapshot_id"])
         if here is not None:
-            _write_snapshot(top, n, Path(here), before, exclude_deleted)
+            _write_snapshot(timeline.sparkSession, top, n, Path(here), before, exclude_deleted)
             before = Path(here)
     _finish(top, nodes, before if nodes and nodes[-1]["snapshot_id"] in folders else None)
     return str(top / "timeline.json")
@@ -127,19 +138,30 @@ def round_trip(spark: SparkSession, out: str, folder: str, timestamp: float | No
         sides = [stored(read_tree(spark, str(p), single="true")) for p in (before, new)]
         fields = ("op_type", "file_id", "source_path", "target_path", "old_hash", "new_hash", "confidence")
         node["operations"] = [r.asDict() for r in compare(*sides).select(*fields).orderBy(*fields).collect()]
-    _write_snapshot(top, node, new, before if nodes else None, False)
+    _write_snapshot(spark, top, node, new, before if nodes else None, False)
     _finish(top, [*nodes, node], new)
     return str(top / "timeline.json")
 
 
-def _message(node: dict) -> str:
-    """Counts of distinct paths by kind, then the paths themselves."""
-    kinds: dict[str, dict[str, None]] = defaultdict(dict)
-    for op in node["operations"]:
-        kinds[op["op_type"]][op["target_path"] or op["source_path"] or op["file_id"]] = None
-    counts = ", ".join(f"{len(v)} {k}" for k, v in sorted(kinds.items())) or "no changes"
-    listed = "".join("\n".join(["", f"{k.title()}:", *[f"  {p}" for p in kinds[k]]]) for k in KINDS if k in kinds)
-    return f"Snapshot: {node['snapshot_id']}\n\n{counts}{listed}"
+def summaries(operations: DataFrame) -> DataFrame:
+    """(snapshot_id, message): what a commit says about a snapshot's operations(snapshot_id, op_type, file_id, paths).
+
+    First the number of different paths by kind, in the order of the kinds' names, then every path under its kind. A
+    path is the new one, else the old one, else the file_id.
+    """
+    path = F.coalesce(F.nullif("target_path", F.lit("")), F.nullif("source_path", F.lit("")), "file_id")
+    rows = operations.select("snapshot_id", "op_type", path.alias("path"), F.coalesce("op_ord", F.lit(0)).alias("at"))
+    once = rows.groupBy("snapshot_id", "op_type", "path").agg(F.min("at").alias("at"))
+    kinds = once.groupBy("snapshot_id", "op_type").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "path"))).alias("paths")
+    )
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("op_type"))
+    count = F.concat_ws(" ", F.col("n").cast("string"), "op_type")
+    listed = F.concat(F.lit("\n"), F.initcap("op_type"), F.lit(":\n"), F.array_join(F.transform("paths", lambda p: F.concat(F.lit("  "), p["path"])), "\n"))
+    told = kinds.select("snapshot_id", F.struct("op_type", count.alias("x")).alias("count"), F.when(place > 0, F.struct(place.alias("i"), listed.alias("x"))).alias("part"))
+    whole = told.groupBy("snapshot_id").agg(F.array_sort(F.collect_list("count")).alias("counts"), F.array_sort(F.collect_list("part")).alias("parts"))
+    line, rest = F.array_join(F.col("counts.x"), ", "), F.array_join(F.col("parts.x"), "")
+    return whole.select("snapshot_id", F.concat(F.lit("Snapshot: "), "snapshot_id", F.lit("\n\n"), line, rest).alias("message"))
 
 
 def _metadata(folder: Path) -> str:
@@ -162,6 +184,8 @@ def export_git(timeline: DataFrame, folders: dict[str, str], out: str, name: str
         subprocess.run(["git", "-C", out, "-c", f"user.name={name}", "-c", f"user.email={email}", *args], check=True, capture_output=True, text=True, input=told)
 
     git("init", "-q", "-b", branch)
+    ops = timeline.select("snapshot_id", F.posexplode("operations").alias("op_ord", "op")).select("snapshot_id", "op_ord", "op.*")
+    messages = {r.snapshot_id: r.message for r in summaries(ops).collect()}  # a row per snapshot
     for n in _nodes(timeline):
         here = folders.get(n["snapshot_id"])
         if here is None:
@@ -172,7 +196,7 @@ def export_git(timeline: DataFrame, folders: dict[str, str], out: str, name: str
         for rel in _files(Path(here)):
             _copy(Path(here) / rel, top / rel)
         git("add", "-A")
-        git("commit", "-q", "--allow-empty", "-F", "-", told=_message(n))
+        git("commit", "-q", "--allow-empty", "-F", "-", told=messages.get(n["snapshot_id"], f"Snapshot: {n['snapshot_id']}\n\nno changes"))
         git("notes", "--ref", "fh/metadata", "add", "-f", "-F", "-", told=_metadata(Path(here)))
         if n["operations"]:
             git("notes", "--ref", "fh/confidence", "add", "-f", "-F", "-", told=json.dumps({op["file_id"]: op["confidence"] for op in n["operations"]}, indent=2))

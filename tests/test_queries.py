@@ -5,9 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from palimpsest.plans import oracle, queries
+from palimpsest.plans import checks, checks_oracle, oracle, queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = queries.QUERIES | checks.QUERIES, oracle.SQL | checks_oracle.SQL
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 
 
@@ -26,13 +27,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries.QUERIES) == set(oracle.SQL)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    got = queries.QUERIES[name](spark, SF)
-    cur = con.execute(oracle.SQL[name])
+    got = QUERIES[name](spark, SF)
+    cur = con.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(got.columns) == sorted(names)
     want = sorted(tuple(told(v) for v in row) for row in cur.fetchall())
