@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import path_change
-from palimpsest.runtime import small
+from palimpsest.runtime import small, stored
 
 FIELDS = ("op_type", "file_id", "source_path", "target_path", "old_hash", "new_hash", "confidence")
 
@@ -28,30 +28,32 @@ def derive_operations(files: DataFrame, observations: DataFrame, snapshots: Data
     if mode not in ("compat", "complete"):
         raise ValueError(f"unknown mode: {mode}")
     order = small(snapshots.select("snapshot_id", "snapshot_idx"))
-    obs = observations.select("project_uid", "cluster_uid", "snapshot_id", "path").distinct().join(order, "snapshot_id")
-    record = files.groupBy("snapshot_id", "path").agg(F.max(F.struct("raw_hash", "norm_hash")).alias("r"))
-    obs = obs.join(record.select("snapshot_id", "path", "r.raw_hash", "r.norm_hash"), ["snapshot_id", "path"], "left")
-    # a cluster's paths in one snapshot are one record of one logical file
-    held = obs.groupBy("project_uid", "cluster_uid", "snapshot_idx").agg(F.array_sort(F.collect_list(F.struct("path", "raw_hash", "norm_hash"))).alias("o"))
     last = snapshots.agg(F.max("snapshot_idx")).first()[0] or 0
-    a = held.where(F.col("snapshot_idx") < last).select("project_uid", "cluster_uid", F.col("snapshot_idx").alias("pair_idx"), F.col("o").alias("a"))
-    b = held.where("snapshot_idx > 0").select("project_uid", "cluster_uid", (F.col("snapshot_idx") - 1).alias("pair_idx"), F.col("o").alias("b"))
-    both = a.join(b, ["project_uid", "cluster_uid", "pair_idx"], "full_outer")
+    record = files.groupBy("snapshot_id", "path").agg(F.max(F.struct("raw_hash", "norm_hash")).alias("r"))
+    held = observations.select("project_uid", "cluster_uid", "snapshot_id", "path").distinct().join(record, ["snapshot_id", "path"], "left").join(order, "snapshot_id")
+    # a snapshot's files are the later side of one pair and the earlier side of the next
+    sides = F.array(F.struct(F.col("snapshot_idx").alias("pair_idx"), F.lit("a").alias("side")), F.struct((F.col("snapshot_idx") - 1).alias("pair_idx"), F.lit("b").alias("side")))
+    rows = held.select("project_uid", "cluster_uid", "path", F.struct(F.lit(True).alias("there"), "r.raw_hash", "r.norm_hash").alias("r"), F.explode(sides).alias("s"))
+    rows = rows.where((F.col("s.pair_idx") >= 0) & (F.col("s.pair_idx") < last))
+    cluster = ["project_uid", "cluster_uid", "pair_idx"]
+    own = lambda side: F.max(F.when(F.col("s.side") == side, F.col("r"))).alias(side)
+    # one row per path of a cluster in a pair, with its record on either side
+    flat = stored(rows.groupBy("project_uid", "cluster_uid", F.col("s.pair_idx").alias("pair_idx"), "path").agg(own("a"), own("b")))
 
-    paths_a, paths_b = F.transform("a", lambda x: x["path"]), F.transform("b", lambda x: x["path"])
-    both = both.withColumn("pa", F.coalesce(paths_a, F.array().cast("array<string>"))).withColumn("pb", F.coalesce(paths_b, F.array().cast("array<string>")))
-    both = both.withColumn("common", F.array_min(F.array_intersect("pa", "pb")))
-    both = both.withColumn("path_a", F.coalesce("common", F.array_min("pa"))).withColumn("path_b", F.coalesce("common", F.array_min("pb")))
-    at = lambda side, path: F.get(F.filter(side, lambda x: x["path"] == F.col(path)), F.lit(0))
-    both = both.withColumn("ra", at("a", "path_a")).withColumn("rb", at("b", "path_b"))
+    in_a, in_b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    first = lambda cond, *sides: F.min(F.when(cond, F.struct("path", *sides)))
+    found = flat.groupBy(*cluster).agg(first(in_a & in_b, "a", "b").alias("common"), first(in_a, "a").alias("first_a"), first(in_b, "b").alias("first_b"))
+    # the compared path of either side: the smallest common one, else each side's smallest
+    at = lambda side, field: F.coalesce(F.col(f"common.{field}"), F.col(f"first_{side}.{field}"))
+    both = found.select(*cluster, at("a", "path").alias("path_a"), at("b", "path").alias("path_b"), at("a", "a").alias("ra"), at("b", "b").alias("rb"))
     old, new, p, q = F.col("ra.raw_hash"), F.col("rb.raw_hash"), F.col("path_a"), F.col("path_b")
     same_raw, same_norm = F.coalesce(old == new, F.lit(False)), F.coalesce(F.col("ra.norm_hash") == F.col("rb.norm_hash"), F.lit(False))
     moved = lambda c: _op(path_change(p, q), p, p, q, old, new, c)
     none = F.filter(F.array(_op("", p, p, q, old, new)), lambda x: F.lit(False))
     delete, create = _op("delete", p, p, None, old, None), _op("create", q, None, q, None, new)
     ops = (
-        F.when(F.size("pb") == 0, F.array(delete))
-        .when(F.size("pa") == 0, F.array(create))
+        F.when(q.isNull(), F.array(delete))
+        .when(p.isNull(), F.array(create))
         .when((p == q) & same_raw, none)
         .when(p == q, F.array(_op("modify", p, p, p, old, new)))
         .when(same_raw, F.array(moved(1.0)))
@@ -61,26 +63,24 @@ def derive_operations(files: DataFrame, observations: DataFrame, snapshots: Data
     main = both.select("pair_idx", F.explode(ops).alias("op")).select("pair_idx", "op.*")
 
     # further new paths: copies if the hash was in the earlier snapshot, from the cluster's own path if it can be
-    fresh = both.where((F.size("pa") > 0) & (F.size("pb") > 0)).select("pair_idx", "pa", "path_b", F.explode("b").alias("x"))
-    fresh = fresh.where(~F.array_contains("pa", F.col("x.path")) & (F.col("x.path") != F.col("path_b")) & F.col("x.raw_hash").isNotNull()).select("pair_idx", "pa", F.col("x.path").alias("path"), F.col("x.raw_hash").alias("hash"))
+    known = both.select(*cluster, "path_a", "path_b")
+    fresh = flat.where(in_b & ~in_a & F.col("b.raw_hash").isNotNull()).select(*cluster, "path", F.col("b.raw_hash").alias("hash")).join(known, cluster)
+    fresh = fresh.where(p.isNotNull() & (F.col("path") != q))
     earlier = files.join(order, "snapshot_id").groupBy(F.col("snapshot_idx").alias("pair_idx"), F.col("raw_hash").alias("hash")).agg(F.min("path").alias("any_path"))
-    own = both.select("pair_idx", F.explode("a").alias("y")).groupBy("pair_idx", F.col("y.path").alias("own_path")).agg(F.first("y.raw_hash").alias("own_hash"))
-    wide = fresh.join(earlier, ["pair_idx", "hash"], "left")
-    inside = fresh.select("pair_idx", "path", "hash", F.explode("pa").alias("own_path")).join(own, ["pair_idx", "own_path"]).where("own_hash = hash").groupBy("pair_idx", "path").agg(F.min("own_path").alias("own_path"))
-    wide = wide.join(inside, ["pair_idx", "path"], "left")
+    inside = flat.where(in_a).groupBy(*cluster, F.col("a.raw_hash").alias("hash")).agg(F.min("path").alias("own_path"))
+    wide = fresh.join(earlier, ["pair_idx", "hash"], "left").join(inside, [*cluster, "hash"], "left")
     src, h = F.coalesce("own_path", "any_path"), F.col("hash")
     extra = wide.select("pair_idx", F.when(F.col("any_path").isNotNull(), _op("copy", src, src, F.col("path"), h, h)).otherwise(_op("create", F.col("path"), None, F.col("path"), None, h)).alias("op")).select("pair_idx", "op.*")
     out = main.unionByName(extra)
     if mode == "complete":
-        lost = both.where(F.size("pa") > 0).select("pair_idx", "pb", "path_a", F.explode("a").alias("x")).where(~F.array_contains("pb", F.col("x.path")) & (F.col("x.path") != F.col("path_a")))
-        gone = lost.select("pair_idx", _op("delete", F.col("x.path"), F.col("x.path"), None, F.col("x.raw_hash"), None).alias("op"))
-        made = both.where(F.size("pa") == 0).select("pair_idx", "path_b", F.explode("b").alias("x")).where(F.col("x.path") != F.col("path_b"))
-        made = made.select("pair_idx", _op("create", F.col("x.path"), None, F.col("x.path"), None, F.col("x.raw_hash")).alias("op"))
-        kept = both.select("pair_idx", "b", "path_a", F.explode("a").alias("x")).withColumn("y", F.get(F.filter("b", lambda z: z["path"] == F.col("x.path")), F.lit(0)))
-        kept = kept.where((F.col("x.path") != F.col("path_a")) & (F.col("y.raw_hash") != F.col("x.raw_hash")))
-        kept = kept.select("pair_idx", _op("modify", F.col("x.path"), F.col("x.path"), F.col("x.path"), F.col("x.raw_hash"), F.col("y.raw_hash")).alias("op"))
-        for more in (gone, made, kept):
-            out = out.unionByName(more.select("pair_idx", "op.*"))
+        more = flat.join(known, cluster)
+        path, before, after = F.col("path"), F.col("a.raw_hash"), F.col("b.raw_hash")
+        op = (
+            F.when(in_a & ~in_b & (path != p), _op("delete", path, path, None, before, None))
+            .when(p.isNull() & (path != q), _op("create", path, None, path, None, after))
+            .when(in_a & in_b & (path != p) & (before != after), _op("modify", path, path, path, before, after))
+        )
+        out = out.unionByName(more.select("pair_idx", op.alias("op")).where("op is not null").select("pair_idx", "op.*"))
     names = snapshots.select(F.col("snapshot_idx").alias("pair_idx"), F.col("snapshot_id").alias("from_id"))
     after = snapshots.select((F.col("snapshot_idx") - 1).alias("pair_idx"), F.col("snapshot_id").alias("to_id"))
     return out.join(small(names), "pair_idx").join(small(after), "pair_idx").select("pair_idx", "from_id", "to_id", *FIELDS)

@@ -24,10 +24,15 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    files = stored(history_files(spark, d))
+    files = _files(spark, d, "snapshot_id", "path", "raw_hash", "norm_hash")
     return files, snapshots(files), identity.assign_identities(files)
 
 
+def _files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The history's files, stored: texts are expanded and hashed once, for the columns that are needed."""
+    return stored(history_files(spark, d).select(*columns))
+
+
 def _operations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     files, snaps, obs = _history(spark, d)
     return diff.derive_operations(files, obs, snaps), snaps
@@ -66,7 +71,7 @@ def identity_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def identity_blocking(spark: SparkSession, d: str) -> DataFrame:
-    return identity.assign_identities(stored(history_files(spark, d)), blocking=True).select("cluster_uid", "snapshot_id", "path")
+    return identity.assign_identities(_files(spark, d, "snapshot_id", "path", "raw_hash", "size", "fast_hash"), blocking=True).select("cluster_uid", "snapshot_id", "path")
 
 
 @query
@@ -76,13 +81,13 @@ def identity_canonical_path(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_consecutive(spark: SparkSession, d: str) -> DataFrame:
-    files = history_files(spark, d)
+    files = _files(spark, d, "snapshot_id", "path", "raw_hash")
     return match.match_consecutive(files, snapshots(files))
 
 
 @query
 def match_all_pairs(spark: SparkSession, d: str) -> DataFrame:
-    files = history_files(spark, d)
+    files = _files(spark, d, "snapshot_id", "path", "raw_hash")
     return match.match_all_pairs(files, snapshots(files))
 
 
@@ -98,7 +103,7 @@ def hash_frequency(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def idf_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return projects.jaccard_pairs(history_files(spark, d))
+    return projects.jaccard_pairs(_files(spark, d, "snapshot_id", "path", "raw_hash", "norm_hash"))
 
 
 @query
@@ -114,7 +119,7 @@ def weighted_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def project_groups(spark: SparkSession, d: str) -> DataFrame:
-    return projects.group_snapshots(history_files(spark, d))
+    return projects.group_snapshots(_files(spark, d, "snapshot_id", "path", "raw_hash", "norm_hash"))
 
 
 @query
@@ -147,7 +152,7 @@ def normalized_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def path_change_class(spark: SparkSession, d: str) -> DataFrame:
-    p = history_files(spark, d).select("raw_hash", "path").distinct()
+    p = stored(history_files(spark, d).select("raw_hash", "path").distinct())
     a, b = p.alias("a"), p.alias("b")
     pairs = a.join(b, (F.col("a.raw_hash") == F.col("b.raw_hash")) & (F.col("a.path") < F.col("b.path")))
     return pairs.groupBy(F.col("a.path").alias("old"), F.col("b.path").alias("new")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", path_change(F.col("old"), F.col("new")))
@@ -186,7 +191,7 @@ def fused_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Every snapshot's files on the left, and on the right those of its successor, under the same pair_idx."""
-    files = history_files(spark, d)
+    files = stored(history_files(spark, d))
     rows = files.join(small(snapshots(files).select("snapshot_id", "snapshot_idx")), "snapshot_id")
     return rows.withColumn("pair_idx", F.col("snapshot_idx")).alias("a"), rows.withColumn("pair_idx", F.col("snapshot_idx") - 1).alias("b")
 
