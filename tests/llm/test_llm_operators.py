@@ -1,6 +1,5 @@
 """Each operator against a plain version, with nulls, empty and repeated rows, ties, extra columns and empty tables."""
 
-import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -313,16 +312,6 @@ def test_queries_match_sql(spark):
         assert sorted(tuple(told(r[c]) for c in names) for r in got.collect()) == sorted(tuple(map(told, r)) for r in cur.fetchall()), name
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
-    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
-
-
 def test_small_batches_keep_lower_settings(spark):
     from palimpsest.llm.worker import BATCH_ROWS, small_batches
 
