@@ -1,9 +1,10 @@
 """Chat formatting of reply trees.
 
-Root-to-leaf paths come from self-joins that double the jump each round: log2(depth) joins give every node's depth and
-its 2^k-th ancestor, then each chosen leaf's path is halved down to single nodes, again by joins. No path array grows
-along the way, so a deep thread costs rows in proportion to its length. Branches are ranked by the sum of their nodes'
-scores, and each chosen path becomes one conversation.
+Root-to-leaf paths come from self-joins that double the jump each round. Nodes that follow each other without a branch
+are one run first; log2(runs on a path) joins give every run's depth and its 2^k-th run above, then each chosen leaf's
+path is halved down to single runs, again by joins. No path array grows along the way, so a deep thread costs rows in
+proportion to its length. Branches are ranked by the sum of their nodes' scores, and each chosen path becomes one
+conversation.
 
 Defined cases: null role or text is empty; a parent that is missing makes a root; nodes on a parent cycle reach no root
 and yield no path; equal scores prefer the smaller leaf; an empty table gives no rows.
@@ -42,39 +43,64 @@ def thread(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(1.0))
 
 
+def in_runs(nodes: DataFrame) -> DataFrame:
+    """nodes(conv, node, parent, score) with `run`, the first node of the run a node belongs to, and `pos` within it.
+
+    A node goes on with a run if it is the only reply to the node before it in the order of numbers; so a flat log is
+    one run, and a tree has a run for each stretch between branches that is numbered in a row.
+    """
+    order = W.partitionBy("conv").orderBy("node")
+    rows = nodes.withColumns({"before": F.lag("node").over(order), "at": F.row_number().over(order)})
+    # second, so that the partitioning by conv serves here too
+    replies = F.count(F.lit(1)).over(W.partitionBy("conv", "parent"))
+    rows = rows.withColumn("first", ~F.coalesce((F.col("parent") == F.col("before")) & (replies == 1), F.lit(False)))
+    start = F.last(F.when(F.col("first"), F.struct("node", "at")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("start", start)
+    return rows.select("conv", "node", "parent", "score", F.col("start.node").alias("run"), (F.col("at") - F.col("start.at")).cast("long").alias("pos"))
+
+
 def paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """(conv, leaf, rank, depth, node) for the best `top` root-to-leaf paths of each conversation; depth 0 is the root.
 
     nodes: conv, node, parent, score; conv and node are non-null together for a usable row, a null conv is a tree too.
+    Runs of nodes are joined as one, so the rounds go by the branches on a path and not by its length.
     """
-    nodes = nodes.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    members = stored(in_runs(nodes.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))))
     same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv"))
-    known = nodes.select("conv", "node").distinct()
-    first = nodes.alias("n").join(known.alias("p"), same("n", "p") & (F.col("n.parent") == F.col("p.node")), "left")
-    # up: the 2^k-th ancestor; steps: ancestors counted so far; total: score from the node over those steps, up excluded
-    now = stored(first.select("n.conv", "n.node", F.col("p.node").alias("up"), F.when(F.col("p.node").isNotNull(), 1).otherwise(0).cast("long").alias("steps"), F.col("n.score").alias("total")))
+    head = F.when(F.col("pos") == 0, F.col("parent"))
+    runs = stored(members.groupBy("conv", "run").agg(F.max(head).alias("parent"), F.max("node").alias("end"), F.count(F.lit(1)).alias("len"), F.sum("score").alias("score")))
+    first = runs.alias("n").join(runs.alias("p"), same("n", "p") & (F.col("n.parent") == F.col("p.end")), "left")
+    # up: the 2^k-th run above; steps and above: runs and nodes passed so far; total: score from the run over those
+    # steps, up excluded
+    passed = F.when(F.col("p.run").isNotNull(), 1).otherwise(0).cast("long")
+    now = first.select("n.conv", F.col("n.run").alias("node"), "n.end", F.col("p.run").alias("up"), passed.alias("steps"), F.coalesce("p.len", F.lit(0).cast("long")).alias("above"), F.col("n.score").alias("total"))
+    now = stored(now)
     most = now.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
     jumps, done, moving = [], now.where("up is null"), now.where("up is not null")
+    inner = moving.select("conv", F.col("up").alias("node")).distinct()
     while 2 ** len(jumps) <= most and moving.limit(1).count():
-        # only nodes below their root move on; a node's row is among those moving or those done
+        # only runs below their root move on; a run's row is among those moving or those done
         jumps.append(moving)
         a, b = moving.alias("a"), moving.unionByName(done).alias("b")
         both = a.join(b, same("a", "b") & (F.col("a.up") == F.col("b.node")))
-        now = stored(both.select("a.conv", "a.node", "b.up", (F.col("a.steps") + F.col("b.steps")).alias("steps"), (F.col("a.total") + F.col("b.total")).alias("total")))
+        sums = [(F.col(f"a.{c}") + F.col(f"b.{c}")).alias(c) for c in ("steps", "above", "total")]
+        now = stored(both.select("a.conv", "a.node", "a.end", "b.up", *sums))
         done, moving = done.unionByName(now.where("up is null")), now.where("up is not null")
-    # nodes that lead into a cycle never get done
-    inner = nodes.where("parent is not null").select("conv", F.col("parent").alias("node")).distinct()
+    # runs that lead into a cycle never get done
     leaves = done.alias("d").join(inner.alias("i"), same("d", "i") & (F.col("d.node") == F.col("i.node")), "left_anti")
-    rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc("total"), "node"))
+    rank = F.row_number().over(W.partitionBy("conv").orderBy(F.desc("total"), "end"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= top)
-    part = chosen.select("conv", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth"), (F.col("steps") + 1).alias("n"))
+    part = chosen.select("conv", F.col("end").alias("leaf"), "rank", "node", (F.col("steps") + 1).alias("n"))
     for k in range(len(jumps) - 1, -1, -1):
         size = 2**k
         long, rest = part.where(F.col("n") > size), part.where(F.col("n") <= size)
         above = long.alias("a").join(jumps[k].alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node")))
-        above = above.select("a.conv", "leaf", "rank", F.col("b.up").alias("node"), (F.col("depth") - size).alias("depth"), (F.col("n") - size).alias("n"))
+        above = above.select("a.conv", "leaf", "rank", F.col("b.up").alias("node"), (F.col("n") - size).alias("n"))
         part = stored(rest.unionByName(long.withColumn("n", F.lit(size).cast("long"))).unionByName(above))
-    return part.drop("n")
+    # back from runs to nodes: a run begins below the nodes above it
+    placed = part.alias("a").join(done.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.node"))).select("a.conv", "leaf", "rank", "a.node", "above")
+    found = placed.alias("a").join(members.alias("b"), same("a", "b") & (F.col("a.node") == F.col("b.run")))
+    return found.select("a.conv", "leaf", "rank", (F.col("above") + F.col("pos")).alias("depth"), "b.node")
 
 
 def formatted(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
