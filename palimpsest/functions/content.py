@@ -15,13 +15,19 @@ TEXT_SUFFIXES = (".txt", ".md", ".py", ".js", ".ts", ".json", ".yaml", ".yml", "
 BINARY_PROBE, ENDING_PROBE = 512, 8192
 
 
-def digest(data: bytes, algorithm: str = "sha256") -> str:
-    """Content hash; 'blake3' needs that package, everything else comes from hashlib."""
+def hasher(algorithm: str = "sha256"):
+    """An object of hashlib's kind; 'blake3' needs that package."""
     if algorithm == "blake3":
         import blake3
 
-        return blake3.blake3(data).hexdigest()
-    return hashlib.new(algorithm, data).hexdigest()
+        return blake3.blake3()
+    return hashlib.new(algorithm)
+
+
+def digest(data: bytes, algorithm: str = "sha256") -> str:
+    h = hasher(algorithm)
+    h.update(data)
+    return h.hexdigest()
 
 
 def usable_hash(norm: Column | str = "norm_hash", raw: Column | str = "raw_hash") -> Column:
@@ -42,13 +48,41 @@ def line_ending(text: Column) -> Column:
     return F.when(F.contains(F.substring(text, 1, BINARY_PROBE), F.lit("\0")), "binary").when(crlf & lf, "mixed").when(crlf, "crlf").otherwise("lf")
 
 
+class Fingerprint:
+    """Hashes and line ending of content that is read in chunks; no more than one chunk is held.
+
+    raw, fast (XXH64, seed 0), norm (after CRLF became LF; null where the head holds NUL) and ending.
+    """
+
+    def __init__(self, known_text: bool = False, algorithm: str = "sha256"):
+        self._raw, self._norm = hasher(algorithm), hasher(algorithm)
+        self._fast = xxhash.xxh64()
+        self._known, self._head, self._cr = known_text, b"", b""
+
+    def update(self, data: bytes) -> None:
+        self._raw.update(data)
+        self._fast.update(data)
+        self._head += data[: max(ENDING_PROBE - len(self._head), 0)]
+        data = self._cr + data
+        self._cr = data[-1:] if data.endswith(b"\r") else b""  # it may belong to an LF that is yet to come
+        self._norm.update(data[: len(data) - len(self._cr)].replace(b"\r\n", b"\n"))
+
+    def result(self) -> tuple[str, str, str | None, str]:
+        self._norm.update(self._cr)
+        self._cr = b""
+        norm, head = self._norm.hexdigest(), self._head
+        crlf, lf = b"\r\n" in head, b"\n" in head.replace(b"\r\n", b"")
+        ending = "mixed" if crlf and lf else "crlf" if crlf else "lf"
+        if not self._known and b"\0" in head[:BINARY_PROBE]:
+            norm, ending = None, "binary"
+        return self._raw.hexdigest(), self._fast.hexdigest(), norm, ending
+
+
 def normalized_bytes(data: bytes, known_text: bool = False, algorithm: str = "sha256") -> tuple[str | None, str]:
-    """The same two results for bytes, used while reading files."""
-    if not known_text and b"\0" in data[:BINARY_PROBE]:
-        return None, "binary"
-    head = data[:ENDING_PROBE]
-    crlf, lf = b"\r\n" in head, b"\n" in head.replace(b"\r\n", b"")
-    return digest(data.replace(b"\r\n", b"\n"), algorithm), "mixed" if crlf and lf else "crlf" if crlf else "lf"
+    """Normalised hash and line ending of bytes."""
+    one = Fingerprint(known_text, algorithm)
+    one.update(data)
+    return one.result()[2:]
 
 
 @F.pandas_udf(StringType())

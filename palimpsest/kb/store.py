@@ -1,19 +1,20 @@
 """Knowledge carried from run to run: versioned folders of Parquet tables and a pointer file.
 
 A version is written whole under v=N and becomes current by replacing the pointer, so readers see the old or the new
-state. Only the last five older versions stay; `rollback(n)` makes the n-th last current again.
+state; both lie where Spark reads and writes, so executors share them. Only the last five older versions stay;
+`rollback(n)` makes the n-th last current again.
 """
 
 from __future__ import annotations
 
 import json
-import shutil
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.runtime import SharedFolder
+
 SCHEMA_VERSION = "1"
 TABLES = {
     "identities": "hash string, cluster_uid string, confidence double",
@@ -28,24 +29,24 @@ KEEP = 5
 
 class KnowledgeStore:
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.tables, self.dirty = spark, Path(path), {}, False
+        self.spark, self.folder, self.tables, self.dirty = spark, SharedFolder(spark, path), {}, False
 
     def open(self) -> KnowledgeStore:
-        pointer = self.path / "current.json"
-        if not pointer.exists():
+        pointer = self.folder.read("current.json")
+        if pointer is None:
             self.tables = {k: self.spark.createDataFrame([], s) for k, s in TABLES.items()}
             self.version = 0
             return self
         try:
-            state = json.loads(pointer.read_text())
+            state = json.loads(pointer)
         except ValueError as e:
-            raise ValueError(f"corrupt knowledge pointer: {pointer}") from e
+            raise ValueError(f"corrupt knowledge pointer in {self.folder.path}") from e
         if not isinstance(state, dict):
-            raise ValueError(f"not an object: {pointer}")
+            raise ValueError(f"the pointer is not an object: {self.folder.path}")
         if state.get("schema") != SCHEMA_VERSION:
             raise ValueError(f"schema version {state.get('schema')!r}, expected {SCHEMA_VERSION!r}")
         self.version = int(state["version"])
-        self.tables = {k: self.spark.read.schema(s).parquet(str(self.path / f"v={self.version}" / k)) for k, s in TABLES.items()}
+        self.tables = {k: self.spark.read.schema(s).parquet(f"{self.folder.path}/v={self.version}/{k}") for k, s in TABLES.items()}
         return self
 
     def upsert(self, table: str, rows: DataFrame) -> None:
@@ -76,10 +77,10 @@ class KnowledgeStore:
             self.upsert("history", self.spark.createDataFrame([(run, datetime.now(UTC).isoformat())], TABLES["history"]))
         to = max(self._versions(), default=0) + 1
         for name, df in self.tables.items():
-            df.write.parquet(str(self.path / f"v={to}" / name))
+            df.write.parquet(f"{self.folder.path}/v={to}/{name}")
         self._point(to)
         for v in self._versions()[: -(KEEP + 1)]:
-            shutil.rmtree(self.path / f"v={v}")
+            self.folder.delete(f"v={v}")
         self.dirty = False
         self.open()
 
@@ -88,14 +89,12 @@ class KnowledgeStore:
             raise ValueError("n must be at least 1")
         older = [v for v in self._versions() if v < self.open().version]
         if len(older) < n:
-            raise FileNotFoundError(f"no backup {n} in {self.path}")
+            raise FileNotFoundError(f"no backup {n} in {self.folder.path}")
         self._point(older[-n])
         self.open()
 
     def _versions(self) -> list[int]:
-        return sorted(int(p.name[2:]) for p in self.path.glob("v=*"))
+        return sorted(int(name[2:]) for name in self.folder.names() if name.startswith("v="))
 
     def _point(self, version: int) -> None:
-        fresh = self.path / "current.json.new"
-        fresh.write_text(json.dumps({"schema": SCHEMA_VERSION, "version": version}))
-        fresh.replace(self.path / "current.json")
+        self.folder.replace("current.json", json.dumps({"schema": SCHEMA_VERSION, "version": version}))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.runtime import stored
+from palimpsest.runtime import discard, stored
 
 #: Edges that one task joins by union-find.
 LOCAL = 250_000
@@ -83,8 +83,10 @@ def connected_components(edges: DataFrame, local: int | None = None, rounds: int
         half = both.where("src < dst")
         one = half.join(step.select(F.col("node").alias("src"), F.col("rep").alias("a")), "src")
         two = one.join(step.select(F.col("node").alias("dst"), F.col("rep").alias("b")), "dst").where("a <> b")
-        both = stored(two.select(F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e")).select("e.src", "e.dst").distinct())
+        before, both = both, stored(two.select(F.explode(F.array(ends("a", "b"), ends("b", "a"))).alias("e")).select("e.src", "e.dst").distinct())
+        discard(before)
     last = stored(_joined_locally(both))
+    discard(both)
     if not steps:
         return last
     # names of the last vertices: the smallest low of those that union-find joined
@@ -93,5 +95,8 @@ def connected_components(edges: DataFrame, local: int | None = None, rounds: int
     for k in range(len(steps) - 1, -1, -1):
         # a vertex without an edge is a whole component
         found = lows[k].join(named, "node", "left").select(F.col("node").alias("rep"), F.coalesce("component", "low").alias("component"))
-        named = stored(steps[k].join(found, "rep").select("node", "component"))
+        after = stored(steps[k].join(found, "rep").select("node", "component"))
+        used, named = [lows[k], steps[k], *([] if k == len(steps) - 1 else [named])], after
+        discard(*used)
+    discard(last)
     return named

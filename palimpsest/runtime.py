@@ -46,9 +46,57 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` wrote, once nothing is computed from them any more."""
+    for df in tables:
+        SharedFolder(df.sparkSession, df._stored_at).delete("")
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast df if a count shows that it has at most `limit` rows; otherwise leave the join to Catalyst and AQE."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+class SharedFolder:
+    """Small files in a folder that Spark can reach, whatever its file system; tables beside them are Spark's own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._gateway, self.path = spark._jvm, spark.sparkContext._gateway, path.rstrip("/")
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._at("").getFileSystem(self._conf)
+        self._fs.setVerifyChecksum(False)
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(""))] if self._fs.exists(self._at("")) else []
+
+    def read(self, name: str) -> str | None:
+        if not self._fs.exists(self._at(name)):
+            return None
+        stream = self._fs.open(self._at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Write a file beside `name` and put it in its place by one rename."""
+        fresh = self._at(name + ".new")
+        stream = self._fs.create(fresh, True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(kind, 1)
+        how[0] = kind.valueOf("OVERWRITE")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        context.rename(self._fs.makeQualified(fresh), self._fs.makeQualified(self._at(name)), how)
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)

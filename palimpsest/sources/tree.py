@@ -1,7 +1,7 @@
-"""Files of a folder as a Spark data source, one partition per snapshot folder, and JSON manifests.
+"""Files of a folder as a Spark data source, one partition per folder at the top of a snapshot, and JSON manifests.
 
 The built-in binaryFile source skips names that start with '.' or '_', follows links and lacks modes and times, so the
-reader walks the folder itself. Paths must be visible to the executors. Content is hashed in chunks.
+reader walks the folder itself. Paths must be visible to the executors. Content is hashed in chunks of CHUNK bytes.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from palimpsest.functions.content import TEXT_SUFFIXES, digest, normalized_bytes
+from palimpsest.functions.content import TEXT_SUFFIXES, Fingerprint
 from palimpsest.schemas import FILES, MANIFEST
 
+#: Bytes read at a time.
+CHUNK = 1 << 20
+
 
 def snapshot_dirs(root: str, max_depth: int = 1) -> list[tuple[str, str]]:
     """(id, folder), by id. Depth 0: the root if it has files; 1: its folders; deeper or -1: topmost folders with files."""
@@ -46,39 +48,64 @@ def snapshot_dirs(root: str, max_depth: int = 1) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def walk(folder: str) -> Iterator[tuple]:
-    """A record per regular file or link, links not followed, unreadable files left out."""
-    for here, dirs, names in os.walk(folder):
+def _content(path: str, name: str) -> tuple[str, str, str | None, str]:
+    told = Fingerprint(Path(name).suffix.lower() in TEXT_SUFFIXES)
+    with open(path, "rb") as f:
+        while data := f.read(CHUNK):
+            told.update(data)
+    return told.result()
+
+
+def walk(folder: str, below: str = "", deep: bool = True) -> Iterator[tuple]:
+    """A record per regular file or link, links not followed, unreadable files left out; paths are relative to folder.
+
+    below: the part of the folder to walk; not deep: only what lies in it directly.
+    """
+    for here, dirs, names in os.walk(os.path.join(folder, below)):
         links = [d for d in dirs if os.path.islink(os.path.join(here, d))]
         for name in sorted([*names, *links]):
             full = os.path.join(here, name)
             rel = unicodedata.normalize("NFC", os.path.relpath(full, folder).replace(os.sep, "/"))
             try:
                 s = os.lstat(full)
+                times = s.st_mtime_ns, s.st_ctime_ns
                 if stat.S_ISLNK(s.st_mode):
-                    yield rel, s.st_size, s.st_mode, s.st_mtime_ns, s.st_ctime_ns, "", None, "unknown", "", True, os.readlink(full)
+                    yield rel, s.st_size, s.st_mode, *times, "", None, "unknown", "", True, os.readlink(full)
                 elif stat.S_ISREG(s.st_mode):
-                    data = Path(full).read_bytes()
-                    norm, ending = normalized_bytes(data, Path(name).suffix.lower() in TEXT_SUFFIXES)
-                    yield rel, s.st_size, s.st_mode, s.st_mtime_ns, s.st_ctime_ns, digest(data), norm, ending, xxhash.xxh64_hexdigest(data), False, None
+                    raw, fast, norm, ending = _content(full, name)
+                    yield rel, s.st_size, s.st_mode, *times, raw, norm, ending, fast, False, None
             except OSError:
                 continue
+        if not deep:
+            break
 
 
 class _Part(InputPartition):
-    def __init__(self, snapshot_id: str, folder: str):
-        self.snapshot_id, self.folder = snapshot_id, folder
+    def __init__(self, snapshot_id: str, folder: str, below: str, deep: bool):
+        self.snapshot_id, self.folder, self.below, self.deep = snapshot_id, folder, below, deep
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.dirs = snapshot_dirs(options["path"], int(options.get("max_depth", "1"))) if options.get("single") != "true" else [(options.get("id") or Path(options["path"]).resolve().name, options["path"])]
+        path = options["path"]
+        if options.get("single") == "true":
+            self.dirs = [(options.get("id") or Path(path).resolve().name, path)]
+        else:
+            self.dirs = snapshot_dirs(path, int(options.get("max_depth", "1")))
 
     def partitions(self) -> list[_Part]:
-        return [_Part(*d) for d in self.dirs]
+        """For every snapshot, what lies in it directly, and each of its folders."""
+        out = []
+        for id, folder in self.dirs:
+            out.append(_Part(id, folder, "", False))
+            try:
+                out += [_Part(id, folder, e.name, True) for e in os.scandir(folder) if e.is_dir(follow_symlinks=False)]
+            except OSError:
+                continue
+        return out
 
     def read(self, part: _Part) -> Iterator[tuple]:
-        for row in walk(part.folder):
+        for row in walk(part.folder, part.below, part.deep):
             yield (part.snapshot_id, *row)
 
 
