@@ -8,6 +8,7 @@ state; both lie where Spark reads and writes, so executors share them. Only the
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,47 @@ class KnowledgeStore:
         self.tables["frequencies"] = self.tables["frequencies"].unionByName(counts).groupBy("hash").agg(F.sum("freq").alias("freq"))
         self.dirty = True
 
+    def _row(self, table: str, rows: list[tuple]) -> DataFrame:
+        return self.spark.createDataFrame(rows, TABLES[table])
+
+    def get_identity(self, hash: str) -> str | None:
+        found = self.tables["identities"].where(F.col("hash") == hash).select(F.nullif("cluster_uid", F.lit(""))).first()
+        return found[0] if found else None
+
+    def set_identity(self, hash: str, cluster_uid: str, confidence: float) -> None:
+        self.upsert("identities", self._row("identities", [(hash, cluster_uid, float(confidence))]))
+
+    def get_project(self, uid: str) -> dict[str, float] | None:
+        """A project's hashes and weights; one project is one record."""
+        rows = self.tables["projects"].where(F.col("uid") == uid).select("hash", "weight").collect()
+        return {r.hash: r.weight for r in rows} or None
+
+    def set_project(self, uid: str, fingerprint: dict[str, float]) -> None:
+        now = datetime.now(UTC).isoformat()
+        self.upsert("projects", self._row("projects", [(uid, h, float(w), now) for h, w in fingerprint.items()]))
+
+    def get_frequency(self, hash: str) -> int:
+        found = self.tables["frequencies"].where(F.col("hash") == hash).first()
+        return found.freq if found else 0
+
+    def increment_frequency(self, hash: str) -> int:
+        self.add_frequencies(self.spark.createDataFrame([(hash,)], "hash string"))
+        return self.get_frequency(hash)
+
+    def add_contradiction(self, record: object) -> None:
+        """A mapping, or an object with the fields of one; anything else is a TypeError."""
+        fields = [f.split()[0] for f in TABLES["contradictions"].split(", ")]
+        own = dict(record) if isinstance(record, Mapping) else getattr(record, "__dict__", None)
+        if not own or not set(own) & set(fields):
+            raise TypeError(f"not a contradiction: {type(record).__name__}")
+        values = [own.get(f) for f in fields]
+        values[fields.index("confidence")] = float(own.get("confidence") or 0.0)
+        self.upsert("contradictions", self._row("contradictions", [tuple(values)]))
+
+    def get_contradictions(self) -> list[dict]:
+        """All of them, on the driver; whole tables are in `tables`."""
+        return [r.asDict() for r in self.tables["contradictions"].collect()]
+
     def counts(self) -> dict[str, int]:
         return {"identities": self.tables["identities"].count(), "projects": self.tables["projects"].select("uid").distinct().count(), "contradictions": self.tables["contradictions"].count()}
 

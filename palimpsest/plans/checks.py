@@ -160,6 +160,22 @@ def kb_added_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return kb.tables["frequencies"]
 
 
+@query
+def kb_records(spark: SparkSession, d: str) -> DataFrame:
+    """Single records of a store: the second identity of a hash replaces the first, a new count adds up."""
+    files = stored(history_files(spark, d).select("snapshot_id", F.col("raw_hash").alias("hash")))
+    low, high = files.agg(F.min("hash"), F.max("hash")).first()
+    kb = KnowledgeStore(spark, "never-written").open()
+    kb.add_frequencies(files)
+    for uid in ("first", "second"):
+        kb.set_identity(low, uid, 0.5)
+        kb.set_project(uid, {low: 1.0, high: 2.0})
+    kb.add_contradiction({"hash": high, "identity_a": "a", "identity_b": "b"})
+    project = kb.get_project("second") or {}
+    row = (low, kb.get_identity(low), kb.get_identity(high), kb.increment_frequency(low), project.get(high), len(kb.get_contradictions()))
+    return spark.createDataFrame([row], "hash string, identity string, other string, freq long, weight double, contradictions long")
+
+
 @query
 def kb_contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
     files = stored(history_files(spark, d))

@@ -75,6 +75,9 @@ cl AS (SELECT p AS path, 'default:' || min(q) AS cluster_uid FROM reach GROUP BY
  UNION ALL SELECT '', a.source_path, b.source_path, 'temporal_overlap', 0.3 FROM mt JOIN snaps a ON a.snapshot_idx = x JOIN snaps b ON b.snapshot_idx = y WHERE abs(a.timestamp - b.timestamp) < 1
  UNION ALL SELECT raw_hash, NULL, min(path), 'identity_mismatch', 0.7 FROM files GROUP BY raw_hash HAVING count(DISTINCT path) > 1""",
     "kb_added_frequencies": _HEAD + " SELECT raw_hash AS hash, count(*) AS freq FROM files GROUP BY 1",
+    "kb_records": _HEAD
+    + """ SELECT min(raw_hash) AS hash, 'second' AS identity, NULL::VARCHAR AS other, 1 + count(*) FILTER (raw_hash = (SELECT min(raw_hash) FROM files)) AS freq,
+ 2.0::DOUBLE AS weight, 1 AS contradictions FROM files""",
     "kb_contradiction_candidates": _HEAD
     + _KB
     + _CLUSTERS

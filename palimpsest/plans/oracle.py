@@ -163,7 +163,7 @@ SQL: dict[str, str] = {
  d AS (SELECT regexp_extract(p, '^(.*)/[^/]*$', 1) AS dir, true AS f, false AS s FROM t UNION ALL SELECT snapshot_id, false, true FROM files UNION ALL SELECT substr(snapshot_id, 1, 2), false, true FROM files)
  SELECT dir, CASE WHEN bool_or(f) AND bool_or(s) THEN 'mixed' WHEN bool_or(f) THEN 'files_only' ELSE 'dirs_only' END AS kind FROM d GROUP BY dir""",
 }
-SQL["diff_two_snapshots"] = SQL["history_operations"].replace("(SELECT DISTINCT snapshot_id FROM files))", "(SELECT DISTINCT snapshot_id FROM files))").replace("content FROM raw)", "content FROM raw WHERE snapshot_id IN ('F0/S1', 'F0/S2'))", 1)
+SQL["diff_two_snapshots"] = SQL["history_operations"].replace("content FROM raw)", "content FROM raw WHERE snapshot_id IN ('F0/S1', 'F0/S2'))", 1)
 
 _NEIGHBOURS = ", n AS (SELECT files.*, snapshot_idx FROM files JOIN snaps USING (snapshot_id)), a AS (SELECT *, snapshot_idx::INT AS pair_idx FROM n), b AS (SELECT *, (snapshot_idx - 1)::INT AS pair_idx FROM n)"
 SQL["content_cost_consecutive"] = _HEAD + _NEIGHBOURS + f" SELECT a.pair_idx, a.path, ({_CONTENT})::DOUBLE AS cost FROM a JOIN b USING (pair_idx, path)"

@@ -179,3 +179,16 @@ def test_jaro_winkler_fixed():
     assert 1 - similarity.jaro_winkler("", "zzzz") == 1.0
     assert round(similarity.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
     assert unicodedata.normalize("NFC", "é") == "é"
+
+
+def test_store_records(spark, tmp_path):
+    kb = KnowledgeStore(spark, str(tmp_path)).open()
+    assert kb.get_identity("h") is None and kb.get_project("p") is None and kb.get_frequency("h") == 0 and not kb.dirty
+    kb.set_project("p", {"h": 0.5})
+    assert kb.increment_frequency("h") == 1 and kb.increment_frequency("h") == 2 and kb.dirty
+    kb.close()
+    again = KnowledgeStore(spark, str(tmp_path)).open()
+    assert again.get_project("p") == {"h": 0.5} and again.get_frequency("h") == 2
+    for bad in (3, "text", {"other": 1}, None):
+        with pytest.raises(TypeError):
+            again.add_contradiction(bad)
