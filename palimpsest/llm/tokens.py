@@ -22,23 +22,25 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.worker import slices
 
-#: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones.
-KNOWN = 200_000
-#: Documents of a block.
-BLOCK = 1500
+#: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones. Ids take more memory
+#: than counts, so fewer are kept.
+KNOWN, KNOWN_IDS = 200_000, 60_000
+#: Documents of a block, for counts and for ids.
+BLOCK, BLOCK_IDS = 1500, 500
 _STATE: dict = {}
 
 
 class Known:
     """Pre-token to result, in two generations: what a full young generation did not ask for again is forgotten."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
+        self.limit = limit
         self.young: dict = {}
         self.old: dict = {}
 
     def missing(self, used: set[str]) -> list[str]:
         """Pre-tokens to encode; older ones that are asked for again become young."""
-        if len(self.young) > KNOWN:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old, new = self.young, self.old, []
         for p in used:
@@ -62,7 +64,7 @@ def _pieces_model(path: str):
         # a break before a space, and around a line end, is safe only if no piece spans it
         if any("\n" in p or "▁" in p.lstrip("▁") for p in vocab):
             raise ValueError("this model has pieces that span the end of a pre-token")
-        _STATE["sp", path] = (sp, Known())
+        _STATE["sp", path] = (sp, Known(KNOWN))
     return _STATE["sp", path]
 
 
@@ -113,7 +115,7 @@ def _ids_model(path: str):
         ends = np.zeros(tk.get_vocab_size(), bool)
         for piece, i in tk.get_vocab().items():
             ends[i] = piece.endswith("</w>")
-        _STATE["tk", path] = (tk, bare, ends, Known())
+        _STATE["tk", path] = (tk, bare, ends, Known(KNOWN_IDS))
     return _STATE["tk", path]
 
 
@@ -176,7 +178,7 @@ def pieces(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     tail = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, BLOCK):
+        for b in slices(batches, BLOCK_IDS):
             rows, ns, starts, lengths, crcs, bodies = [], [], [], [], [], []
             for r, body in enumerate(ids_block(tokenizer, [t or "" for t in b.column(1).to_pylist()])):
                 body += tail

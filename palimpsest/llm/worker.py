@@ -29,6 +29,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
         del b
+    release()
+
+
+def release() -> None:
+    """Give free memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
