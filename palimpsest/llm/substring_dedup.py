@@ -6,9 +6,9 @@ another place where the phrase asked for is that first one itself. A document is
 phrase found elsewhere, points to its place there, and grows while the words that follow in the document are those that
 follow at that place. At a factor's end the phrases across the boundary are looked up themselves, so a copy spliced from
 two sources gives two factors that overlap and is not cut short. Every factor has `size` words or more; what factors
-cover becomes the duplicate spans.
+cover becomes the duplicate spans. A place is a text, named by its hash, and a number of words before it.
 
-To keep the index to what can match, each phrase is filed under its anchor: the smallest of its seed (16-word) hashes.
+To keep the index to what can match, each phrase is filed under its anchor: the smallest of its seed (8-word) hashes.
 Equal phrases have equal anchors, so phrases whose anchor occurs once in the corpus are alone and never indexed.
 
 Defined cases: null or short texts have no phrases; copies inside one document count; windows are judged on the input;
@@ -27,10 +27,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 16
+SEED = 8
 #: Words parsed at a time; a longer document is read in parts that overlap by a phrase less one word.
 PART = 1 << 19
 #: A key that a task meets so often in one batch is known to repeat: its rows need not be gathered.
@@ -142,7 +142,12 @@ def marked(h: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return np.concatenate((np.arange(n), told)), np.concatenate((np.where(known, ~h, h), h[told])), np.concatenate((other, np.full(len(told), -1)))
 
 
-def repeated(rows: DataFrame, keys: list[str], place: dict[str, str] | None = None) -> DataFrame:
+def packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two 32-bit numbers in one: a place and the second part of a phrase's hash, or two places."""
+    return (high.astype(np.int64) << 32) | (low.astype(np.int64) & 0xFFFFFFFF)
+
+
+def repeated(rows: DataFrame, keys: dict[str, Column | None], sourced: bool = False) -> DataFrame:
     """The rows whose keys occur twice or more, without gathering any group; h comes from `marked`.
 
     One shuffle: rows of unknown keys by the keys, rows known to repeat by their whole content, so that a key which a
@@ -150,61 +155,67 @@ def repeated(rows: DataFrame, keys: list[str], place: dict[str, str] | None = No
     neighbours, one batch at a time, so a key of any number of rows needs no memory and no join. Rows known to repeat are
     no one's neighbours: the row that tells their key may be one of them again.
 
-    place: columns that tell where a row is, each with the column that gets the same of another row with its key: the
-    first in order, for that one the second. Rows known to repeat have theirs already.
+    keys: the columns that make the key; where an expression stands with one, it takes the low half of the number.
+    sourced: rows are (id, h, at, p1) with the first word in the high half of `at`, and come out as (id, h, at, source):
+    the h of another row with the key, and its first word in the low half of `at`. That is the first such row in order,
+    for that one the second. Rows known to repeat bring theirs along in the place of the key.
     """
-    place = place or {}
+    names, halves = list(keys), {c for c, k in keys.items() if k is not None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, whose right neighbour is in the next batch
-        origin: pa.RecordBatch | None = None  # the first row with its key, where that is not itself
+        origin: tuple[int, int] | None = None  # h and first word of the first row with its key, if that is not itself
         for b in chain(batches, [None]):
             last = b is None
             if last and held is None or not last and not b.num_rows:
                 continue
             parts = [x for x in (held, b) if x is not None]
             b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            equal = np.ones(b.num_rows - 1, bool)
-            for k in keys:
-                col = b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
-                equal &= col[1:] == col[:-1]
-            at = b.schema.get_field_index("h")
-            h = b.column(at).to_numpy(zero_copy_only=False)
+            column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "id"}
+            h = column["h"]
             known = h < 0
-            equal &= ~(known[1:] | known[:-1])
+            equal = ~(known[1:] | known[:-1])
+            for k in names:
+                v = column[k] & 0xFFFFFFFF if k in halves else column[k]
+                equal &= v[1:] == v[:-1]
             twin = origin is not None
             n = b.num_rows - (not last)  # rows to give out
-            right = np.concatenate((equal, [False]))
-            keep = (np.concatenate(([twin], equal)) | right)[:n]
-            heads = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), np.arange(b.num_rows), 0))
-            out = b.set_column(at, b.schema.field(at), pa.array(np.where(known, ~h, h)))
-            # another row: 0 is the origin, then come those of this batch
-            of = np.where(heads == np.arange(b.num_rows), np.minimum(heads + 1, b.num_rows - 1), heads) + 1
-            of[(heads == 0) & twin] = 0
-            for own, other in place.items():
-                pool = pa.chunked_array([(origin if twin else b.slice(0, 1)).column(own), b.column(own)])
-                told = pc.if_else(pa.array(known), b.column(other), pool.take(pa.array(of)).combine_chunks())
-                i = b.schema.get_field_index(other)
-                out = out.set_column(i, b.schema.field(i), told)
-            yield out.slice(0, n).filter(pa.array(keep | known[:n]))
+            places = np.arange(b.num_rows)
+            heads = np.maximum.accumulate(np.where(np.concatenate(([True], ~equal)), places, 0))
+            keep = (known | np.concatenate(([twin], equal)) | np.concatenate((equal, [False])))[:n]
+            h = np.where(known, ~h, h)
+            told = {"h": h}
+            if sourced:
+                other = np.where(heads == places, np.minimum(heads + 1, b.num_rows - 1), heads)
+                first = column["at"] >> 32
+                source, word = h[other], first[other]
+                if twin:
+                    source[heads == 0], word[heads == 0] = origin
+                told["at"] = packed(first, np.where(known, column["at"], word))
+                told["p1"] = np.where(known, column["p1"], source)
+            arrays = [pa.array(told[f.name], f.type) if f.name in told else b.column(f.name) for f in b.schema]
+            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema).slice(0, n).filter(pa.array(keep))
             if not last:
                 held = b.slice(n)
                 if heads[n] == n:
                     origin = None
                 elif heads[n] or not twin:
-                    origin = b.slice(int(heads[n]), 1)
+                    origin = (int(h[heads[n]]), int(column["at"][heads[n]]) >> 32) if sourced else (0, 0)
 
     known = F.col("h") < 0
-    dealt = [F.when(known, F.xxhash64(*rows.columns)), *[F.when(~known, F.col(k)) for k in keys]]
-    return rows.repartition(*dealt).sortWithinPartitions(*keys, known, *place).mapInArrow(run, rows.schema)
+    key = [F.col(c) if part is None else part for c, part in keys.items()]
+    dealt = [F.when(known, F.xxhash64(*rows.columns)), *[F.when(~known, k) for k in key]]
+    order = [*key, known, *(["h", "at"] if sourced else [])]
+    return rows.repartition(*dealt).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
 
 
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
-    """(id, n_words, n_removed, spans, factors, kept_text) for every row of docs.
+    """(id, n_words, n_removed, spans, factors, kept_text, text_hash) for every row of docs.
 
-    spans: (start, length) in words, apart from each other; factors: (start, length, source_id, source_start), which may
-    overlap. Which rows of common keys a task marks depends on where its batches end, so before texts are read for the
-    index they are put in an order that is the same when the task runs again.
+    spans: (start, length) in words, apart from each other; factors: (start, length, source, source_start), which may
+    overlap; source is the text_hash of a row that has the same words there. Which rows of common keys a task marks
+    depends on where its batches end, so before texts are read for the index they are put in an order that is the same
+    when the task runs again.
     """
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -227,20 +238,19 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 hashes = np.concatenate([g[1] for g in got])
                 starts, p1, p2 = np.concatenate([g[0] for g in got]).astype(np.int32), hashes[:, 0], hashes[:, 1].astype(np.int32)
                 take, h, other = marked(c.column(2).to_numpy()[rows], p1, p2)
-                source = pa.array(np.where(other < 0, 0, other), mask=other < 0)
-                cols = [c.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(starts[take]), pa.array(p1[take]), pa.array(p2[take])]
-                cols += [c.column(0).take(pa.array(rows)).take(source), pa.array(starts).take(source)]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "start", "p1", "p2", "source_id", "source_start"])
+                # a row known to repeat brings another place along instead of its key
+                own = np.where(h < 0, starts[other], p2[take])
+                p1 = np.where(h < 0, c.column(2).to_numpy()[rows][other], p1[take])
+                cols = [c.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(packed(starts[take], own)), pa.array(p1)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "at", "p1"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ns, removed, spans, kept = [], [], [], []
-            hits = b.column(3)
+            hits, sources = b.column(3), b.column(4)
             ends = np.cumsum(pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)).astype(np.int64)
-            flat = hits.flatten()
-            start, place = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "source_start"))
-            named = flat.field("source_id")
-            doc = pc.fill_null(named.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            at, doc = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (hits, sources))
+            start, place = at >> 32, at & 0xFFFFFFFF
             chosen, sizes, counts = [], [], []
             for t, lo, hi in zip(b.column(1), [0, *ends[:-1]], ends, strict=True):
                 words = _words(t.as_py())
@@ -249,32 +259,34 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 sizes.append(n)
                 counts.append(len(n))
                 found = covered(start[lo:hi][first], n)
-                keep, at = [], 0
+                keep, done = [], 0
                 for a, w in found:
-                    keep += words[at:a]
-                    at = a + w
-                keep += words[at:]
+                    keep += words[done:a]
+                    done = a + w
+                keep += words[done:]
                 ns.append(len(words))
                 removed.append(len(words) - len(keep))
                 spans.append([{"start": a, "length": w} for a, w in found])
                 kept.append(b" ".join(keep).decode())
             pick = np.concatenate([*chosen, np.empty(0, np.int64)]).astype(np.int64)
             length = np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
-            told = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(length), named.take(pa.array(pick)), pa.array(place[pick])], names=["start", "length", "source_id", "source_start"])
+            told = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(length), pa.array(doc[pick]), pa.array(place[pick])], names=["start", "length", "source", "source_start"])
             parsed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), told)
-            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), parsed, pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "factors", "kept_text"])
+            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), parsed, pa.array(kept, pa.string()), b.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "factors", "kept_text", "text_hash"])
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
     # the index: anchors that occur twice, by document
     anchors = rows.mapInArrow(emit_anchors, f"id {kind}, h long, anchor long")
-    wanted = repeated(anchors, ["anchor"]).groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = repeated(anchors, {"anchor": None}).groupBy("id", "h").agg(F.collect_set("anchor").alias("anchors"))
     routed = rows.join(wanted, same(rows, wanted)).select(rows["id"], rows["text"], rows["h"], "anchors").sortWithinPartitions("h", "id")
     # the reference blocks: phrases by hash; found elsewhere means two places or more
-    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, start int, p1 long, p2 int, source_id {kind}, source_start int")
-    found = repeated(phrases, ["p1", "p2"], {"id": "source_id", "start": "source_start"})
-    hits = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "source_id", "source_start")).alias("hits"))
-    parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "hits")
-    shape = f"array<struct<start:bigint,length:bigint>>, factors array<struct<start:bigint,length:bigint,source_id:{kind},source_start:bigint>>"
-    out = parsed.mapInArrow(parse, f"id {kind}, n_words long, n_removed long, spans {shape}, kept_text string")
+    phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, at long, p1 long")
+    found = repeated(phrases, {"p1": None, "at": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))}, sourced=True)
+    # the two lists are gathered row by row, so they stay in step
+    hits = found.groupBy("id", "h").agg(F.collect_list("at").alias("hits"), F.collect_list("p1").alias("sources"))
+    parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "hits", "sources")
+    factor = "struct<start:bigint,length:bigint,source:bigint,source_start:bigint>"
+    shape = f"id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,length:bigint>>, factors array<{factor}>"
+    out = parsed.mapInArrow(parse, f"{shape}, kept_text string, text_hash long")
     return out.withColumnRenamed("id", id)
