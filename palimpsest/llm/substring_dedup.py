@@ -6,7 +6,7 @@ another place where the phrase asked for is that first one itself. A document is
 phrase found elsewhere, points to its place there, and grows while the words that follow in the document are those that
 follow at that place. At a factor's end the phrases across the boundary are looked up themselves, so a copy spliced from
 two sources gives two factors that overlap and is not cut short. Every factor has `size` words or more; what factors
-cover becomes the duplicate spans. A place is a text, named by its hash, and a number of words before it.
+cover becomes the duplicate spans. A place is a document and a number of words before it.
 
 To keep the index to what can match, each phrase is filed under its anchor: the smallest of its seed (8-word) hashes.
 Equal phrases have equal anchors, so phrases whose anchor occurs once in the corpus are alone and never indexed.
@@ -147,7 +147,7 @@ def packed(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return (high.astype(np.int64) << 32) | (low.astype(np.int64) & 0xFFFFFFFF)
 
 
-def repeated(rows: DataFrame, keys: dict[str, Column | None], sourced: bool = False) -> DataFrame:
+def repeated(rows: DataFrame, keys: dict[str, Column | None], name: str | None = None) -> DataFrame:
     """The rows whose keys occur twice or more, without gathering any group; h comes from `marked`.
 
     One shuffle: rows of unknown keys by the keys, rows known to repeat by their whole content, so that a key which a
@@ -156,22 +156,22 @@ def repeated(rows: DataFrame, keys: dict[str, Column | None], sourced: bool = Fa
     no one's neighbours: the row that tells their key may be one of them again.
 
     keys: the columns that make the key; where an expression stands with one, it takes the low half of the number.
-    sourced: rows are (id, h, at, p1) with the first word in the high half of `at`, and come out as (id, h, at, source):
-    the h of another row with the key, and its first word in the low half of `at`. That is the first such row in order,
-    for that one the second. Rows known to repeat bring theirs along in the place of the key.
+    name: the column by which another row is called, if rows are phrases (id, h, at, p1) with the first word in the high
+    half of `at`. Then p1 becomes the name of another row with the key, and the low half of `at` its first word there.
+    That is the first such row in order, for that one the second. Rows known to repeat bring theirs in the key's place.
     """
     names, halves = list(keys), {c for c, k in keys.items() if k is not None}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row, whose right neighbour is in the next batch
-        origin: tuple[int, int] | None = None  # h and first word of the first row with its key, if that is not itself
+        origin: tuple[int, int] | None = None  # name and first word of the first row with its key, if not itself
         for b in chain(batches, [None]):
             last = b is None
             if last and held is None or not last and not b.num_rows:
                 continue
             parts = [x for x in (held, b) if x is not None]
             b = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "id"}
+            column = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "id" or n == name}
             h = column["h"]
             known = h < 0
             equal = ~(known[1:] | known[:-1])
@@ -185,10 +185,11 @@ def repeated(rows: DataFrame, keys: dict[str, Column | None], sourced: bool = Fa
             keep = (known | np.concatenate(([twin], equal)) | np.concatenate((equal, [False])))[:n]
             h = np.where(known, ~h, h)
             told = {"h": h}
-            if sourced:
+            if name:
+                own = h if name == "h" else column[name]
                 other = np.where(heads == places, np.minimum(heads + 1, b.num_rows - 1), heads)
                 first = column["at"] >> 32
-                source, word = h[other], first[other]
+                source, word = own[other], first[other]
                 if twin:
                     source[heads == 0], word[heads == 0] = origin
                 told["at"] = packed(first, np.where(known, column["at"], word))
@@ -200,33 +201,37 @@ def repeated(rows: DataFrame, keys: dict[str, Column | None], sourced: bool = Fa
                 if heads[n] == n:
                     origin = None
                 elif heads[n] or not twin:
-                    origin = (int(h[heads[n]]), int(column["at"][heads[n]]) >> 32) if sourced else (0, 0)
+                    origin = (int(own[heads[n]]), int(column["at"][heads[n]]) >> 32) if name else (0, 0)
 
     known = F.col("h") < 0
     key = [F.col(c) if part is None else part for c, part in keys.items()]
     dealt = [F.when(known, F.xxhash64(*rows.columns)), *[F.when(~known, k) for k in key]]
-    order = [*key, known, *(["h", "at"] if sourced else [])]
+    order = [*key, known, *([name, "at"] if name else [])]
     return rows.repartition(*dealt).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
 
 
 def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
-    """(id, n_words, n_removed, spans, factors, kept_text, text_hash) for every row of docs.
+    """(id, n_words, n_removed, spans, factors, kept_text, name) for every row of docs.
 
     spans: (start, length) in words, apart from each other; factors: (start, length, source, source_start), which may
-    overlap; source is the text_hash of a row that has the same words there. Which rows of common keys a task marks
+    overlap; source is the `name` of a row that has the same words there. A row's name is its id, if ids are whole
+    numbers of which none is null or repeated; else it is a hash of its text, and rows are told apart by both. Which rows of common keys a task marks
     depends on where its batches end, so before texts are read for the index they are put in an order that is the same
     when the task runs again.
     """
     kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 1))  # its sign is free for `marked`
+    twice = docs.groupBy(F.col(id).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    by_id = kind in ("bigint", "int", "smallint", "tinyint") and not twice.limit(1).count()
+    # its sign is free for `marked`; zeros take no room in a shuffle
+    rows = rows.withColumn("h", F.lit(0).cast("long") if by_id else F.shiftrightunsigned(F.xxhash64("text"), 1))
 
     def emit_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [anchors_of(_words(t.as_py()), size) for t in b.column(1)]
             rows = np.repeat(np.arange(len(got)), [len(g) for g in got])
             flat = np.concatenate([*got, np.empty(0, np.uint64)]).view(np.int64)
-            take, h, _ = marked(b.column(2).to_numpy()[rows], flat)
+            take, h, _ = marked(b.column(2).to_numpy(zero_copy_only=False)[rows], flat)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(flat[take])], names=["id", "h", "anchor"])
 
     def emit_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,10 +242,11 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
                 rows = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
                 hashes = np.concatenate([g[1] for g in got])
                 starts, p1, p2 = np.concatenate([g[0] for g in got]).astype(np.int32), hashes[:, 0], hashes[:, 1].astype(np.int32)
-                take, h, other = marked(c.column(2).to_numpy()[rows], p1, p2)
+                take, h, other = marked(c.column(2).to_numpy(zero_copy_only=False)[rows], p1, p2)
                 # a row known to repeat brings another place along instead of its key
                 own = np.where(h < 0, starts[other], p2[take])
-                p1 = np.where(h < 0, c.column(2).to_numpy()[rows][other], p1[take])
+                named = c.column(0 if by_id else 2).to_numpy(zero_copy_only=False)
+                p1 = np.where(h < 0, named[rows][other], p1[take])
                 cols = [c.column(0).take(pa.array(rows[take])), pa.array(h), pa.array(packed(starts[take], own)), pa.array(p1)]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "at", "p1"])
 
@@ -272,8 +278,8 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
             length = np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
             told = pa.StructArray.from_arrays([pa.array(start[pick]), pa.array(length), pa.array(doc[pick]), pa.array(place[pick])], names=["start", "length", "source", "source_start"])
             parsed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), told)
-            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), parsed, pa.array(kept, pa.string()), b.column(2)]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "factors", "kept_text", "text_hash"])
+            cols = [b.column(0), pa.array(ns, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), parsed, pa.array(kept, pa.string()), b.column(0 if by_id else 2).cast(pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "n_words", "n_removed", "spans", "factors", "kept_text", "name"])
 
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
     # the index: anchors that occur twice, by document
@@ -282,11 +288,11 @@ def duplicate_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     routed = rows.join(wanted, same(rows, wanted)).select(rows["id"], rows["text"], rows["h"], "anchors").sortWithinPartitions("h", "id")
     # the reference blocks: phrases by hash; found elsewhere means two places or more
     phrases = routed.mapInArrow(emit_phrases, f"id {kind}, h long, at long, p1 long")
-    found = repeated(phrases, {"p1": None, "at": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))}, sourced=True)
+    found = repeated(phrases, {"p1": None, "at": F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))}, name="id" if by_id else "h")
     # the two lists are gathered row by row, so they stay in step
     hits = found.groupBy("id", "h").agg(F.collect_list("at").alias("hits"), F.collect_list("p1").alias("sources"))
     parsed = rows.join(hits, same(rows, hits), "left").select(rows["id"], rows["text"], rows["h"], "hits", "sources")
     factor = "struct<start:bigint,length:bigint,source:bigint,source_start:bigint>"
     shape = f"id {kind}, n_words long, n_removed long, spans array<struct<start:bigint,length:bigint>>, factors array<{factor}>"
-    out = parsed.mapInArrow(parse, f"{shape}, kept_text string, text_hash long")
+    out = parsed.mapInArrow(parse, f"{shape}, kept_text string, name long")
     return out.withColumnRenamed("id", id)
