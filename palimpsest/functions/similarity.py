@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import fma
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,8 +33,8 @@ def metadata_cost(mtime_a: Column, mode_a: Column, mtime_b: Column, mode_b: Colu
     return (when + mode) / 2
 
 
-def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
-    """The published similarity: Jaro plus a bonus for a common prefix of up to four characters."""
+def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4, above: float = 0.7) -> float:
+    """The published similarity: Jaro plus a bonus for a common prefix of up to four characters, where Jaro is over 0.7."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -53,10 +54,12 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4) -> float:
     hits_b = [c for c, t in zip(b, taken, strict=True) if t]
     swaps = sum(x != y for x, y in zip(hits_a, hits_b, strict=True)) // 2
     jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
+    if jaro <= above:
+        return jaro
     prefix = 0
     while prefix < min(longest, len(a), len(b)) and a[prefix] == b[prefix]:
         prefix += 1
-    return jaro + prefix * scale * (1 - jaro)
+    return fma(prefix * scale, 1 - jaro, jaro)  # rounded once, as DuckDB does, so that costs at a threshold fall on the same side
 
 
 @F.pandas_udf(DoubleType())
