@@ -40,3 +40,7 @@ def test_similarity_is_duckdbs_to_the_last_bit():
 
 def test_path_cost_consecutive(spark, folder):
     assert same_as_sql(spark, folder, "path_cost_consecutive")
+
+
+def test_fused_matches(spark, folder):
+    assert same_as_sql(spark, folder, "fused_matches")
