@@ -44,3 +44,7 @@ def test_path_cost_consecutive(spark, folder):
 
 def test_fused_matches(spark, folder):
     assert same_as_sql(spark, folder, "fused_matches")
+
+
+def test_fused_matches_consecutive(spark, folder):
+    assert same_as_sql(spark, folder, "fused_matches_consecutive")
