@@ -22,7 +22,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of pairs whose five-word Jaccard similarity is 0.8 or more, the smallest doc_id."""
+    """One document of each component of pairs whose five-word Jaccard similarity is 0.8 or more, the smallest doc_id; by SimHash, and beyond its radius by MinHash."""
     small_batches(spark)
     return simhash.drop_by_component(docs, "doc_id", "text", lambda rows, id: near_copies.near_copies(rows, id, k=5, least=0.8))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import near_copies
+from palimpsest.llm import near_copies, simhash
 
 
 def shingle_set(text):
@@ -70,3 +70,36 @@ def test_repeated_and_null_ids(spark, texts):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.near(spark, docs, "").collect()) == [0, 1, 2]
     assert corpus_pipeline.near(spark, docs.where("false"), "").count() == 0
+
+
+def bits(a, b):
+    return (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count()
+
+
+@pytest.mark.parametrize("block", [near_copies.BLOCK, 2])
+@pytest.mark.parametrize("star", [near_copies.STAR, 2])
+def test_simhash_links_are_checked(spark, texts, monkeypatch, block, star):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "STAR", star)
+    copies = [(1000 + i, f"{t} end") for i, t in texts if i % 4 == 0 and t]
+    rows = texts + copies + [(2000, "one two three four five six"), (2001, "one two three four five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(min(e), max(e)) for e in near_copies.simhash_links(docs, "doc_id", "text", 5, 0.8, 3).collect()}
+    real = {(min(p), max(p)) for p in pairs_at(rows)}
+    assert found and found <= real
+    if star == block == 256:  # smaller stars fall apart, and MinHash finds the rest
+        text = dict(rows)
+        joined = kept(rows, found)
+        close = {(a, b) for a, b in real if bits(text[a], text[b]) <= 3}
+        assert close and joined == kept(rows, found | close)
+
+
+def test_stage_goes_by_simhash(spark, monkeypatch):
+    """Without the search beyond its radius, SimHash alone drops the copies within it."""
+    w = [f"w{i}" for i in range(400)]
+    near = next(" ".join(w[:p] + w[p + 1 :]) for p in range(400) if bits(" ".join(w), " ".join(w[:p] + w[p + 1 :])) <= 3)
+    rows = [(1, " ".join(w)), (2, near), (3, "something else entirely")]
+    none = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(near_copies, "minhash_links", lambda *a, **k: none, raising=False)
+    monkeypatch.setattr(near_copies, "verified_links", lambda *a, **k: none, raising=False)
+    assert ids(spark, rows) == [1, 3]
