@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import fma
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,6 +63,52 @@ def jaro_winkler(a: str, b: str, scale: float = 0.1, longest: int = 4, above: fl
     return fma(prefix * scale, 1 - jaro, jaro)  # rounded once, as DuckDB does, so that costs at a threshold fall on the same side
 
 
+#: Pairs compared at a time, and for n up to 64 the word whose lowest n bits are set.
+PAIRS = 4096
+LOWEST = np.array([(1 << n) - 1 for n in range(65)], np.uint64)
+
+
+def jaro_winkler_all(a: list[str], b: list[str]) -> np.ndarray:
+    """The same to the last bit for many pairs: those of up to 64 characters a block at a time, longer ones singly."""
+    out = np.empty(len(a))
+    size = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    for i in np.flatnonzero(size > 64).tolist():
+        out[i] = jaro_winkler(a[i], b[i])
+    short = np.flatnonzero(size <= 64)
+    for at in range(0, len(short), PAIRS):
+        rows = short[at : at + PAIRS]
+        out[rows] = _block([a[i] for i in rows.tolist()], [b[i] for i in rows.tolist()])
+    return out
+
+
+def _block(a: list[str], b: list[str], scale: float = 0.1, longest: int = 4, above: float = 0.7) -> np.ndarray:
+    """A character of b is a bit of its row's word, so one step places a character of every a."""
+    n, len_a, len_b = len(a), np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    width = max(1, int(max(len_a.max(), len_b.max())))
+    text_a, text_b = (np.array(t, f"<U{width}").view("<u4").reshape(n, width) for t in (a, b))
+    reach = np.maximum(np.maximum(len_a, len_b) // 2 - 1, 0)
+    taken, hits_a, equal = np.zeros(n, np.uint64), np.zeros((n, width), bool), np.zeros((n, 8), np.uint8)
+    for i in range(width):
+        equal[:, : -(-width // 8)] = np.packbits(text_b == text_a[:, i : i + 1], axis=1, bitorder="little")
+        near = LOWEST[np.minimum(len_b, i + reach + 1)] & ~LOWEST[np.maximum(i - reach, 0)] & ~taken
+        free = np.where(i < len_a, equal.view("<u8").ravel() & near, np.uint64(0))
+        taken |= free & (~free + np.uint64(1))
+        hits_a[:, i] = free != 0
+    hits_b = np.unpackbits(taken.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")[:, :width].astype(bool)
+    m = hits_a.sum(axis=1)
+    moved = np.repeat(np.arange(n), m)[text_a[hits_a] != text_b[hits_b]]
+    swaps = np.bincount(moved, minlength=n) // 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = np.where(m > 0, (m / len_a + m / len_b + (m - swaps) / m) / 3, np.where(len_a + len_b > 0, 0.0, 1.0))
+    same = np.cumprod((text_a == text_b)[:, :longest], axis=1).sum(axis=1)
+    prefix = np.where(out > above, np.minimum(same, np.minimum(len_a, len_b)), 0)
+    for p in range(1, longest + 1):
+        rows = np.flatnonzero(prefix == p)
+        jaro, each = np.unique(out[rows], return_inverse=True)  # few different ones
+        out[rows] = np.array([fma(p * scale, 1 - x, x) for x in jaro.tolist()])[each]
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def path_cost(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([1.0 - jaro_winkler(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    return pd.Series(1.0 - jaro_winkler_all([x or "" for x in a], [x or "" for x in b]))

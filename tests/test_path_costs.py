@@ -48,3 +48,12 @@ def test_fused_matches(spark, folder):
 
 def test_fused_matches_consecutive(spark, folder):
     assert same_as_sql(spark, folder, "fused_matches_consecutive")
+
+
+def test_similarity_of_many_is_that_of_each():
+    r = random.Random(7)
+    text = lambda n: "".join(r.choice("ab/.é\0") for _ in range(r.randrange(n)))
+    pairs = [(text(n), text(n)) for n in (6, 90) for _ in range(6000)] + [("", ""), ("", "a"), ("a\0", "a"), ("a" * 64, "a" * 64), ("ab" * 32, "ba" * 32)]
+    a, b = map(list, zip(*pairs, strict=True))
+    assert similarity.jaro_winkler_all(a, b).tolist() == [similarity.jaro_winkler(*p) for p in pairs]
+    assert similarity.jaro_winkler_all([], []).tolist() == []
