@@ -57,3 +57,12 @@ def test_similarity_of_many_is_that_of_each():
     a, b = map(list, zip(*pairs, strict=True))
     assert similarity.jaro_winkler_all(a, b).tolist() == [similarity.jaro_winkler(*p) for p in pairs]
     assert similarity.jaro_winkler_all([], []).tolist() == []
+
+
+def test_similarity_of_many_is_duckdbs_to_the_last_bit():
+    r = random.Random(8)
+    path = lambda: r.choice(("p1/{}.txt", "p4/{}_r.txt", "moved/{}.txt", "copy/{}.txt")).format(int(10 ** r.uniform(0, 12)))
+    a, b = [path() for _ in range(20_000)], [path() for _ in range(20_000)]
+    con = duckdb.connect()
+    con.execute("create table t as select unnest($1) as a, unnest($2) as b", [a, b])
+    assert con.execute("select jaro_winkler_similarity(a, b) from t").fetchall() == [(x,) for x in similarity.jaro_winkler_all(a, b).tolist()]
