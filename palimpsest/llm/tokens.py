@@ -121,17 +121,30 @@ def _ids_model(path: str):
 
 #: Characters at which str.split() breaks though the tokenizer's white space does not have them.
 ODD = re.compile("[\x1c-\x1f]")
-#: Texts whose lower case and word breaks need no library: Latin-1 letters, digits, blanks, full stops and commas.
-WORD = re.compile("[a-zß-öø-ÿ]+\\Z")
+#: Texts whose lower case and word breaks need no library: Latin-1 letters, digits, blanks and ASCII marks without the
+#: apostrophe, which may start a contraction. Their pre-tokens are runs of letters, single digits and runs of marks.
+MARKS = re.escape('!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~')
+WORD = re.compile(f"(?:[a-zß-öø-ÿ]+|[0-9]|[{MARKS}]+)\\Z")
+PRE_TOKENS = re.compile(f"[a-zß-öø-ÿ]+|[0-9]|[{MARKS}]+")
+PLAIN = re.compile(f"[A-Za-z0-9À-ÖØ-öø-ÿ \n\t\r{MARKS}]*\\Z")
+#: Where special tokens start, which are looked for before anything else.
+SPECIAL = "<|"
 SEPARATOR = "\x01"
-PLAIN = re.compile("[A-Za-z0-9À-ÖØ-öø-ÿ \n\t.,]*\\Z")
 
 
 def _chunks(text: str) -> list[str]:
-    """Pieces of a text that encode on their own: words and lone marks of a plain text, else what lies between blanks."""
-    if PLAIN.match(text) and all(text.count(m) == text.count(m + " ") + text.count(m + "\n") + text.count(m + "\t") + text.endswith(m) for m in ".,"):
-        return text.lower().replace(".", " . ").replace(",", " , ").split()
-    return [] if ODD.search(text) else text.split()
+    """Pieces of a text that encode on their own: the pre-tokens of a plain text, else of what is plain between blanks."""
+    if PLAIN.match(text) and SPECIAL not in text:
+        return PRE_TOKENS.findall(text.lower())
+    if ODD.search(text):
+        return []
+    out: list[str] = []
+    for c in text.split():
+        if PLAIN.match(c) and SPECIAL not in c:
+            out += PRE_TOKENS.findall(c.lower())
+        else:
+            out.append(c)
+    return out
 
 
 def _encode(tk, texts: list[str]) -> list[bytes]:
@@ -159,8 +172,8 @@ def ids_block(path: str, texts: list[str]) -> list[bytes]:
     chunks = [_chunks(t) for t in texts]
     used = set().union(*chunks)
     new = known.missing(used)
-    words = [c for c in new if WORD.match(c)]  # one pre-token each: its last id ends the word
-    other = [c for c in new if not WORD.match(c)]
+    words = [c for c in new if WORD.match(c) and SPECIAL not in c]  # one pre-token each: its last id ends the word
+    other = [c for c in new if not WORD.match(c) or SPECIAL in c]
     known.young.update(zip(words, _encode_chunks(bare, words, ends, " ", 0), strict=True))
     mark = np.zeros(len(ends), bool)
     mark[tk.encode(SEPARATOR, add_special_tokens=False).ids] = True
