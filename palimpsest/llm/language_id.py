@@ -25,14 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.worker import slices
+from palimpsest.llm.worker import kept, slices
 
 LANE = 1024
 #: Letters of a language up to which its automaton is a dense table; with more, transitions are searched in order.
 DENSE = 128
 #: Symbols handled at a time by a worker.
 BLOCK = 1 << 21
-_MODELS: dict = {}
 
 
 def held_out(id: Column) -> Column:
@@ -199,10 +198,11 @@ class CrossParser:
 
 def _model(texts: dict[str, str]) -> CrossParser:
     key = zlib.crc32(repr(sorted(texts.items())).encode())
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = CrossParser(texts)
-    return _MODELS[key]
+    models = kept("language_id")
+    if key not in models:
+        models.clear()
+        models[key] = CrossParser(texts)
+    return models[key]
 
 
 def predicted(docs: DataFrame, texts: dict[str, str], id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:

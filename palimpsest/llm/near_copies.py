@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.simhash import near_duplicates
-from palimpsest.llm.worker import release, slices
+from palimpsest.llm.worker import done, kept, slices
 from palimpsest.operators.components import connected_components
 from palimpsest.runtime import stored
 
@@ -42,8 +42,6 @@ STAR = 256
 COLUMNS = 4096
 _random = np.random.default_rng(42)
 FACTORS = (_random.integers(0, 1 << 32, BANDS * ROWS, np.uint32) | 1).astype(np.uint32)
-#: Rows that a worker has compared since it gave memory back.
-_compared = [0]
 SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, np.uint32)
 
 
@@ -68,6 +66,7 @@ def banded(docs: DataFrame, id: str, text: str, k: int) -> DataFrame:
     """(id, keys) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("near copies")
         for b in slices(batches):
             keys = [band_keys(shingles(t.as_py(), k)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["id", "keys"])
@@ -115,13 +114,11 @@ def compared(docs: DataFrame, id: str, text: str, k: int, least: float, sent: Da
     texts = docs.select(F.col(id).alias("node"), F.col(text).alias("text"))
 
     def run(t: pa.Table) -> pa.Table:
+        kept("near copies")
         t = t.sort_by("node")  # the order in which rows arrive is not the same when a task runs again
         edges = forest(similar([shingles(x.as_py(), k) for x in t.column("text")], least))
         node = t.column("node")
-        _compared[0] += t.num_rows
-        if _compared[0] > 4 * BLOCK:
-            _compared[0] = 0
-            release()
+        done(t.num_rows, 4 * BLOCK)
         return pa.table({"src": node.take(pa.array([a for a, _ in edges], pa.int64())), "dst": node.take(pa.array([b for _, b in edges], pa.int64()))})
 
     kind = docs.schema[id].dataType.simpleString()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.worker import slices
+from palimpsest.llm.worker import kept, slices
 from palimpsest.operators.components import connected_components
 from palimpsest.runtime import stored
 
@@ -57,6 +57,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
     """(id, fp) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t.as_py(), k) for t in b.column(1)], pa.int64())], names=["id", "fp"])
 

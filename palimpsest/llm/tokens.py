@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.worker import slices
+from palimpsest.llm.worker import kept, slices
 
 #: Pre-tokens kept from block to block, in each worker: this many new ones and as many older ones. Ids take more memory
 #: than counts, so fewer are kept.
 KNOWN, KNOWN_IDS = 200_000, 60_000
 #: Documents of a block, for counts and for ids.
 BLOCK, BLOCK_IDS = 1500, 500
-_STATE: dict = {}
 
 
 class Known:
@@ -56,7 +55,8 @@ class Known:
 
 
 def _pieces_model(path: str):
-    if ("sp", path) not in _STATE:
+    state = kept("tokens")
+    if ("sp", path) not in state:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -64,8 +64,8 @@ def _pieces_model(path: str):
         # a break before a space, and around a line end, is safe only if no piece spans it
         if any("\n" in p or "▁" in p.lstrip("▁") for p in vocab):
             raise ValueError("this model has pieces that span the end of a pre-token")
-        _STATE["sp", path] = (sp, Known(KNOWN))
-    return _STATE["sp", path]
+        state["sp", path] = (sp, Known(KNOWN))
+    return state["sp", path]
 
 
 PRE_TOKEN = re.compile(" *[^ \n]+| +|\n")
@@ -102,7 +102,8 @@ def token_counts(docs: DataFrame, model: str, id: str = "doc_id", text: str = "t
 
 def _ids_model(path: str):
     """The tokenizer, its core, which of its ids end a word, and the known chunks."""
-    if ("tk", path) not in _STATE:
+    state = kept("tokens")
+    if ("tk", path) not in state:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,8 +116,8 @@ def _ids_model(path: str):
         ends = np.zeros(tk.get_vocab_size(), bool)
         for piece, i in tk.get_vocab().items():
             ends[i] = piece.endswith("</w>")
-        _STATE["tk", path] = (tk, bare, ends, Known(KNOWN_IDS))
-    return _STATE["tk", path]
+        state["tk", path] = (tk, bare, ends, Known(KNOWN_IDS))
+    return state["tk", path]
 
 
 #: Characters at which str.split() breaks though the tokenizer's white space does not have them.

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
 
+from palimpsest.runtime import release
+
 #: Rows and bytes of a batch between the JVM and a worker.
 BATCH_ROWS = 1500
 BATCH_BYTES = "16m"
+#: What operators keep in a worker from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+#: Rows that a worker has done by groups since it gave memory back.
+_done = [0]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -32,11 +36,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
     release()
 
 
-def release() -> None:
-    """Give free memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+def kept(operator: str) -> dict:
+    """What an operator keeps in this worker. What others kept is given back first: workers outlive the stage that they
+    were started for, and would hold its model in idleness beside the next one's."""
+    if _KEPT.keys() - {operator}:
+        _KEPT.clear()
+        release()
+    return _KEPT.setdefault(operator, {})
+
+
+def done(rows: int, most: int) -> None:
+    """Give memory back after every `most` rows, over all groups and tasks of a worker."""
+    _done[0] += rows
+    if _done[0] > most:
+        _done[0] = 0
+        release()

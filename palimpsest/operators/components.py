@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.runtime import discard, stored
+from palimpsest.runtime import discard, release, stored
 
 #: Edges that one task joins by union-find.
 LOCAL = 250_000
@@ -51,6 +51,8 @@ def _joined_locally(edges: DataFrame) -> DataFrame:
         found = roots(pairs)
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(found, kind), pa.array(found.values(), kind)], names=["node", "component"])
+        del pairs, found
+        release()
 
     kind = edges.schema["src"].dataType.simpleString()
     half = edges.where("src < dst").select("src", "dst")
